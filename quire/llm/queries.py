@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import candidate_matches, groups
 from quire.llm.cooccur import item_pairs
+from quire.llm.mojibake import corpus_letters, garbled_values
+from quire.llm.neardup import duplicate_pairs, link_counts, near_duplicates
 from quire.llm.packing import container_fill, pack
 from quire.llm.tokenizer import encode_column, token_counts
 from quire.sources import table
@@ -15,6 +17,14 @@ from quire.sources import table
 CONTAINER = 2048
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return duplicate_pairs(*near_duplicates(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return link_counts(*near_duplicates(table(spark, d, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups(candidate_matches(table(spark, d, "dup_candidate")))
 
@@ -28,6 +38,21 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumn("lift", F.round("lift", 6)).withColumn("odds_ratio", F.round("odds_ratio", 4))
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    notes = table(spark, d, "source_note")
+    fields = F.map_concat(F.transform_keys(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, v: F.concat(F.lit("props."), k)), F.create_map(F.lit("body"), F.col("body")))
+    values = notes.select("note_id", F.explode(fields).alias("field", "value")).where(F.col("value").isNotNull())
+    return garbled_values(values, "value", ["note_id", "field"], corpus_letters(notes, "body"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("note_id", "field").distinct()
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("note_id", "field", "restored").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "text", ["doc_id"])
 
@@ -46,11 +71,11 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return one.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * CONTAINER), 4))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_pairs, p8_ids, p9_containers, p9_fill)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p6_found, p6_pairs, p7_found, p7_restored, p8_ids, p9_containers, p9_fill)}
 
 _P6 = """
 with one as (
-  select page_id, list_sort(list_distinct(list_filter(arg_max(targets, built_at), x -> x is not null))) as items
+  select page_id, list_sort(list_distinct([x for x in arg_max(targets, built_at) if x is not null])) as items
   from graph_out where targets is not null and page_id is not null group by page_id),
 sets as (select * from one where len(items) between 1 and 60),
 total as (select count(*) as n from sets),
