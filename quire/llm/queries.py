@@ -10,6 +10,7 @@ from quire.llm.cooccur import item_pairs
 from quire.llm.mojibake import corpus_letters, garbled_values
 from quire.llm.neardup import duplicate_pairs, link_counts, near_duplicates
 from quire.llm.packing import container_fill, pack
+from quire.llm.sentences import corpus_words, sentence_positions, split_sentences
 from quire.llm.tokenizer import encode_column, token_counts
 from quire.sources import table
 
@@ -71,7 +72,17 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return one.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * CONTAINER), 4))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p6_found, p6_pairs, p7_found, p7_restored, p8_ids, p9_containers, p9_fill)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return sentence_positions(docs, "text", ["doc_id"], corpus_words(docs, "text")).distinct()
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return split_sentences(docs, "text", ["doc_id"], corpus_words(docs, "text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p6_found, p6_pairs, p7_found, p7_restored, p8_ids, p9_containers, p9_fill, p10_found, p10_sentences)}
 
 _P6 = """
 with one as (
