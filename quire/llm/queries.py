@@ -99,7 +99,22 @@ good as (select item_a, item_b, n_ab, s.n as n_a, t.n as n_b, total.n as n_baske
   where n_ab * total.n >= 10 * s.n * t.n)
 """
 
+_P2 = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+s as (select doc_id, unnest(list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)])) as s from w where len(w) >= 5),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select x.doc_id as doc_a, y.doc_id as doc_b, count(*) as c from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2)
+select doc_a, doc_b from pairs join n a on a.doc_id = doc_a join n b on b.doc_id = doc_b where c >= 0.5 * (a.n + b.n - c)
+"""
+_P4 = """
+with recursive m0 as (select distinct regexp_replace(a, '^/', '') as a, regexp_replace(b, '^/', '') as b from dup_candidate where score >= 0.6),
+m as (select a, b from m0 where a <> b union select b, a from m0 where a <> b),
+r(rel, g) as (select a, a from m union select m.b, r.g from r join m on m.a = r.rel)
+select rel, min(g) as group_rel from r group by rel
+"""
 SQL = {
+    "p2_found": _P2,
+    "p4_found": _P4,
     "p6_found": _P6 + "select item_a, item_b from good",
     "p6_pairs": _P6
     + """select *, round(n_ab * n_baskets::double / (n_a * n_b), 6) as lift,
