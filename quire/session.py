@@ -71,9 +71,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through the shared, reliable checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of df through the shared, reliable checkpoint folder.
+
+    A checkpointed plan keeps the sort orders that hold for the plan it replaces, one for each way to name them; over the rounds of an
+    iteration these multiply until planning takes longer than running. So the checkpointed rows are wrapped in a plan of their own.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    try:
+        rows = done._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    except Exception:  # another kind of session: correct, only slower over many rounds
+        return done
 
 
 def default_parallelism(spark: SparkSession) -> int:
