@@ -31,10 +31,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
     The state of each round is one row per node; every `keep` rounds it is checkpointed. The driver receives one number per round.
     """
-    n = nodes.count()
+    n = max(nodes.count(), 1)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     adj = checkpoint(edges.join(out, "src").select("src", "dst", "n_out"))
-    state = checkpoint(nodes.select("rel").distinct().join(out.select(F.col("src").alias("rel"), "n_out"), "rel", "left").select("rel", F.lit(1.0 / max(n, 1)).alias("score"), F.col("n_out").isNull().alias("dangling")))
+    state = checkpoint(nodes.select("rel").distinct().join(out.select(F.col("src").alias("rel"), "n_out"), "rel", "left").select("rel", F.lit(1.0 / n).alias("score"), F.col("n_out").isNull().alias("dangling")))
     for k in range(1, rounds + 1):
         hanging = state.where("dangling").agg(F.sum("score").alias("s")).withColumn("s", F.coalesce("s", F.lit(0.0)))
         flow = adj.join(state.select(F.col("rel").alias("src"), "score"), "src").groupBy(F.col("dst").alias("rel")).agg(F.sum(F.col("score") / F.col("n_out")).alias("got"))
