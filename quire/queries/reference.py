@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.paths import folder_of, fragment_of, is_internal, name_of, page_path, percent_decode, stem_of, without_fragment
 from quire.functions.strings import acronym, glob_regex, is_kebab, jaccard, slug, tokens
 from quire.operators import graph as G
+from quire.operators.blocks import class_pairs, name_classes
 from quire.operators.catalog import SYNTHESES, edges, folder_closure, in_scope, is_tooling, links, pages, relations
 from quire.plans.skew import lookup
 from quire.sources import table
@@ -435,13 +436,62 @@ def srch_03_index_ranking(spark, d):
 
 @query("with b as (select p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) as t from part), k as (select t from b group by t having count(*) <= 200), f as (select b.* from b join k using (t)) select count(*) as n_pairs from (select distinct x.p_partkey, y.p_partkey from f x join f y on x.t = y.t and x.p_partkey < y.p_partkey)")
 def dup_02_capped_blocks(spark, d):
-    """Candidate pairs from token blocks of at most 200 members (the cap is the operator's meaning: larger blocks say nothing)."""
+    """Number of pairs from token blocks of at most 200 members, the t: keys alone; all keys: dup_02_part_class_pairs."""
     b = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("t"))
     few = b.join(b.groupBy("t").count().where(F.col("count") <= 200).select("t"), "t", "left_semi")
     pairs = few.select("t", F.col("p_partkey").alias("a")).join(few.select("t", F.col("p_partkey").alias("b")), "t").where(F.col("a") < F.col("b")).select("a", "b").distinct()
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+# The tokens of any name, as functions.strings.tokens makes them.
+_FOLDED = "translate(replace(replace(lower(regexp_replace(regexp_replace({c}, '(\\w)\\+\\+', '\\1pp', 'g'), '(\\w)#', '\\1sharp', 'g')), 'ß', 'ss'), 'œ', 'oe'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_NAME = f"array_to_string([case when length(t) > 3 and ends_with(t, 's') and not ends_with(t, 'ss') then left(t, length(t) - 1) else t end for t in regexp_split_to_array(replace({_FOLDED}, '_', ' '), '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{Nd}}}}\\p{{{{Nl}}}}\\p{{{{Pc}}}}]+') if t <> '' and t not in {_STOP}], ' ')"
+_PART_CLASSES = f"classes as (select distinct p_partkey as id, 'n:' || {_NAME.format(c='p_name')} as class from part where {_NAME.format(c='p_name')} <> '')"
+_PAGE_CLASSES = f"""inside as (select * from scoped where split_part(rel, '/', 1) <> 'journal'),
+names as (select rel, title as name from inside union all select rel, unnest(aliases) from inside union all select rel, replace(regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', ''), '-', ' ') from inside),
+classes as (select rel as id, 'n:' || {_NAME.format(c='name')} as class from names where {_NAME.format(c='name')} <> ''
+  union select rel, 'r:' || regexp_replace(resource, '/+$', '') from inside where resource <> '')"""
+_CLASS_PAIRS = """key as (select distinct class, unnest(list_concat(['t:' || x for x in t], ['p:' || left(x, 4) for x in t], ['a:' || case when len(t) = 1 then t[1] else array_to_string([left(x, 1) for x in t], '') end])) as key
+  from (select distinct class, string_split(substr(class, 3), ' ') as t from classes where starts_with(class, 'n:'))),
+kept as (select class, key from key where key in (select key from classes join key using (class) group by key having count(distinct id) <= 200))
+select distinct x.class as class_a, y.class as class_b from kept x join kept y on x.key = y.key and x.class < y.class"""
+
+
+def _part_classes(spark, d):
+    return name_classes(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_name").alias("names"), F.lit(None).cast("string").alias("resource")))
+
+
+def _page_classes(spark, d):
+    """Names are the title, the aliases and the file's stem."""
+    stem = F.replace(stem_of(F.col("rel")), F.lit("-"), F.lit(" "))
+    names = F.array_compact(F.concat(F.array("title", stem), F.coalesce("aliases", F.array().cast("array<string>"))))
+    return name_classes(pages(spark, d).where(in_scope()).select(F.col("rel").alias("id"), names.alias("names"), "resource"))
+
+
+@query(f"with {_PART_CLASSES} select * from classes")
+def dup_01_part_classes(spark, d):
+    """Parts of equal name: one row per part, with its class."""
+    return _part_classes(spark, d)
+
+
+@query(f"with {_PART_CLASSES}, {_CLASS_PAIRS}")
+def dup_02_part_class_pairs(spark, d):
+    """Pairs of names of parts that share a token, prefix or acronym of at most 200 parts."""
+    return class_pairs(_part_classes(spark, d))
+
+
+@query(f"with {_PAGE}, {_PAGE_CLASSES} select * from classes")
+def dup_01_page_classes(spark, d):
+    """Pages of equal name or resource: one row per page and class."""
+    return _page_classes(spark, d)
+
+
+@query(f"with {_PAGE}, {_PAGE_CLASSES}, {_CLASS_PAIRS}")
+def dup_02_page_class_pairs(spark, d):
+    """Pairs of names of pages that share a token, prefix or acronym of at most 200 pages."""
+    return class_pairs(_page_classes(spark, d))
+
+
 @query(
     f"with {_PAGE}, {_LINKS} "
     + """select 'type' as section, type as item, count(*) as n from scoped group by type
