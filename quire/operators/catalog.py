@@ -25,14 +25,14 @@ def page_title(title: Column, rel: Column) -> Column:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that exist now: rel, folder, type, title, description, tags, aliases, status, resource, added_at.
+    """Pages that exist now: rel, folder, type, title, description, tags, aliases, status, resource, added_at, frontmatter.
 
     Pages delivered twice count once; type is NULL if blank; description '' if missing; status `stable` if missing.
     """
     own = table(spark, d, "bundle_page").where(F.col("deleted_at").isNull()).dropDuplicates(["page_id"])
-    own = own.select("rel", "type", "title", "description", "tags", "aliases", "status", "resource", "added_at")
+    own = own.select("rel", "type", "title", "description", "tags", "aliases", "status", "resource", "added_at", "frontmatter")
     nothing = F.lit(None).cast("array<string>")
-    library = table(spark, d, "library_page").where(F.col("deleted_at").isNull()).select("rel", "type", "title", F.lit(None).cast("string").alias("description"), nothing.alias("tags"), nothing.alias("aliases"), F.lit(None).cast("string").alias("status"), "resource", "added_at")
+    library = table(spark, d, "library_page").where(F.col("deleted_at").isNull()).select("rel", "type", "title", F.lit(None).cast("string").alias("description"), nothing.alias("tags"), nothing.alias("aliases"), F.lit(None).cast("string").alias("status"), "resource", "added_at", F.lit(None).cast("string").alias("frontmatter"))
     p = own.unionByName(library)
     kind = F.trim("type")
     return p.select(
@@ -46,6 +46,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce("status", F.lit("stable")).alias("status"),
         "resource",
         "added_at",
+        "frontmatter",
     )
 
 
@@ -61,8 +62,8 @@ def in_scope(scope: str = "knowledge") -> Column:
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    """Body links to pages, once per link id: link_id, src, dst (bundle path)."""
-    t = table(spark, d, "page_link").select("link_id", F.col("rel").alias("src"), page_path(F.col("target"), F.col("rel")).alias("dst"))
+    """Body links to pages, once per link id: link_id, src, dst (bundle path), target (as written)."""
+    t = table(spark, d, "page_link").select("link_id", F.col("rel").alias("src"), page_path(F.col("target"), F.col("rel")).alias("dst"), "target")
     return t.where(F.col("dst").isNotNull()).dropDuplicates(["link_id"])
 
 

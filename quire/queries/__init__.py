@@ -2,7 +2,7 @@
 
 from quire.queries import problems, reference
 
-FLAGSHIP = "rpt_01_report"
+FLAGSHIP = "rpt_01_health"
 QUERIES = {**problems.QUERIES, **reference.QUERIES}
 
 _P3 = "with " + ", ".join(

@@ -12,6 +12,7 @@ from quire.functions.strings import acronym, glob_regex, is_kebab, jaccard, slug
 from quire.operators import graph as G
 from quire.operators.blocks import class_pairs, name_classes
 from quire.operators.catalog import SYNTHESES, edges, folder_closure, in_scope, is_tooling, links, pages, relations
+from quire.operators.report import health_report
 from quire.plans.skew import lookup
 from quire.sources import table
 
@@ -499,13 +500,19 @@ def dup_02_page_class_pairs(spark, d):
   union all select 'broken', dst, count(*) from link where src <> dst and dst not in (select rel from page) and src in (select rel from scoped) group by dst"""
 )
 def rpt_01_report(spark, d):
-    """The health report as rows: section, item, n."""
+    """Three sections of the health report as rows: section, item, n. The whole report: rpt_01_health."""
     p = pages(spark, d).where(in_scope("all"))
     by = lambda s, c: p.groupBy(F.col(c).alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("section"), "item", "n")
     broken = links(spark, d).where(F.col("src") != F.col("dst")).join(pages(spark, d).select(F.col("rel").alias("dst")), "dst", "left_anti").join(p.select(F.col("rel").alias("src")), "src", "left_semi")
     return by("type", "type").unionByName(by("status", "status")).unionByName(broken.groupBy(F.col("dst").alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("broken").alias("section"), "item", "n"))
 
 
+@query()
+def rpt_01_health(spark, d):
+    """The whole health report as rows: section, item, n, as of the present."""
+    return health_report(pages(spark, d), links(spark, d))
+
+
 @query(_P + "select folder, count(*) as n_pages, count(distinct type) as n_types from scoped group by folder")
 def idx_01_folders(spark, d):
     return pages(spark, d).where(in_scope("all")).groupBy("folder").agg(F.count(F.lit(1)).alias("n_pages"), F.count_distinct("type").alias("n_types"))
