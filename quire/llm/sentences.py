@@ -170,11 +170,13 @@ def word_before(text: str, stop: int, least: int) -> str:
 
 @dataclass
 class Words:
-    """What a corpus says about the words before full stops: [stop + small letter or digit, stop + capital or other, stop at the end of a block, without a stop]."""
+    """What a corpus says: its abbreviations, those that may close a sentence, and the words in small letters among those seen with a capital after a stop."""
 
     abbreviations: set[str] = field(default_factory=set)
     closing: set[str] = field(default_factory=set)
     small: set[str] = field(default_factory=set)
+    #: Words of SEED that the corpus has often with a stop, and not as abbreviations.
+    denied: set[str] = field(default_factory=set)
 
 
 def _kind(text: str, at: int, stop: int) -> tuple[str, int]:
@@ -206,9 +208,7 @@ _FENCED = re.compile(r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t\r]*$|\Z)")
 
 def stop_evidence(text: str | None) -> Counter:
     """Counts (word, kind) for the words before full stops in a document: what follows is l a small letter or digit, u a capital or other letter,
-    e the end of the block; p counts occurrences without a stop.
-
-    Words of up to eight letters count; those without a stop are counted for words of up to four letters that have one somewhere in the document.
+    e the end of the block; p counts occurrences without a stop, for words of up to four letters that have one somewhere in the document.
     """
     out: Counter = Counter()
     if not text or "." not in text:
@@ -216,8 +216,8 @@ def stop_evidence(text: str | None) -> Counter:
     if "```" in text or "~~~" in text:
         text = _FENCED.sub("", text)
     for m in _STOP.finditer(text):
-        w, nxt = word_before(text, m.start(), max(0, m.start() - 12)), m[1]
-        if not w or len(w) > 8 or w[0].isdigit():
+        w, nxt = word_before(text, m.start(), 0), m[1]
+        if not w or w[0].isdigit():
             continue
         if nxt != "|":  # a table row
             out[w.lower(), "e" if not nxt else "l" if nxt.islower() or nxt.isdigit() else "u"] += 1
@@ -229,31 +229,62 @@ def stop_evidence(text: str | None) -> Counter:
     return out
 
 
+#: A capitalised word after a full stop; a word of small letters that stands by itself.
+_STARTER = re.compile(r"\.[ \t\r\n\u00a0\u202f]+[\"“„«‹‘'(\[*_]*([^\W\d_]+)")
+_WORD = re.compile(r"(?<![\w.'’-])[^\W\d_]+(?![\w'’-])")
+_WORD_STOP = re.compile(r"(?<![\w.'’-])[^\W\d_]+(?![\w'’-])\.?")
+
+
+def letter_evidence(text: str | None) -> Counter:
+    """Counts (word, kind), all in small letters: c a capitalised word after a full stop, s an occurrence in small letters."""
+    out: Counter = Counter()
+    if not text:
+        return out
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub("", text)
+    for w in _STARTER.findall(text):
+        if w[0].isupper():
+            out[w.lower(), "c"] += 1
+    for w, n in Counter(_WORD.findall(text)).items():
+        if w.islower():
+            out[w, "s"] += n
+    return out
+
+
 def corpus_words(df: DataFrame, text: str) -> Words:
-    """Abbreviations of a corpus, from all its texts.
+    """Abbreviations and small-letter words of a corpus, from all its texts.
 
     A word is an abbreviation if a stop after it is followed by a small letter or digit at least five times and in at least three cases of ten,
     or if it has up to four letters and stands before capitals at least twenty times but hardly ever without a stop or at the end of a block. It may close a sentence
     if at least one in two hundred of its stops ends a block. The driver receives only words that pass; these have at least five (twenty) occurrences
-    each, and made-up or ordinary words don't pass.
+    each, and made-up or ordinary words don't pass. A word seen with a capital after a stop is an ordinary one if it occurs at least five times
+    in small letters; of these there are as many as the vocabulary has.
     """
-    src = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").contains("."))
+    src = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 total.update(stop_evidence(t))
+                total.update(letter_evidence(t))
             words = sorted({w for w, _ in total})
-            cols = [pa.array([total[w, k] for w in words], pa.int64()) for k in "luep"]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *cols], names=["word", *"luep"])
+            cols = [pa.array([total[w, k] for w in words], pa.int64()) for k in "luepcs"]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *cols], names=["word", *"luepcs"])
 
-    rows = src.mapInArrow(count, "word string, l long, u long, e long, p long").groupBy("word").agg(*[F.sum(k).alias(k) for k in "luep"])
+    rows = src.mapInArrow(count, "word string, l long, u long, e long, p long, c long, s long").groupBy("word").agg(*[F.sum(k).alias(k) for k in "luepcs"])
     dotted = F.col("l") + F.col("u") + F.col("e")
     inner = (F.col("l") >= 5) & (F.col("l") >= 0.3 * dotted)
     title = (F.length("word") <= 4) & (F.col("u") >= 20) & (F.col("p") * 50 <= dotted) & (F.col("e") * 100 <= dotted)
+    small = (F.col("c") > 0) & (F.col("s") >= 5)
     out = Words()
-    for r in rows.where(inner | title).collect():
+    for r in rows.select("*", (inner | title).alias("abbreviation"), small.alias("small"), (F.col("word").isin(*SEED) & (dotted >= 20)).alias("seed")).where("abbreviation or small or seed").collect():
+        if r["small"]:
+            out.small.add(r["word"])
+        if not r["abbreviation"]:
+            if r["seed"]:
+                out.denied.add(r["word"])
+            continue
         out.abbreviations.add(r["word"])
         if r["e"] * 200 >= r["l"] + r["u"] + r["e"]:
             out.closing.add(r["word"])
@@ -266,33 +297,61 @@ class _Document:
     def __init__(self, text: str, corpus: Words):
         self.text, self.corpus = text, corpus
         self._known: dict[str, bool] = {}
+        self._ordinary: dict[str, bool] = {}
+        self._inner: Counter | None = None
+        self._words: tuple[set[str], set[str]] | None = None
+
+    @property
+    def words(self) -> tuple[set[str], set[str]]:
+        """The words as they stand in the document, and those that occur without a stop after them, in small letters."""
+        if self._words is None:
+            got = set(_WORD_STOP.findall(self.text))
+            self._words = {w.rstrip(".") for w in got}, {w.lower() for w in got if w[-1] != "."}
+        return self._words
 
     def abbreviation(self, word: str) -> bool:
+        """Whether a word is an abbreviation: as the document says, else the corpus, else the fixed list."""
         w = word.lower()
-        if w in self.corpus.abbreviations or w in SEED:
-            return True
-        if len(w) > 5 and "." not in w:
-            return False
         got = self._known.get(w)
         if got is None:
-            got = self._known[w] = self._abbreviation(w)
+            said = self._says(w)
+            got = self._known[w] = said if said is not None else w in self.corpus.abbreviations or (w in SEED and w not in self.corpus.denied)
         return got
 
-    def _abbreviation(self, w: str) -> bool:
-        # in this document: with a stop at least twice, a small letter or digit after each, and never without
-        text = self.text
-        if text.count(f"{w}. ") < 2 or f" {w} " in text or f" {w}," in text:
-            return False
-        after = [m[1] for m in re.finditer(rf"(?<!\w){re.escape(w)}\.\s+(\S)", text)]
-        return len(after) >= 2 and all(c.islower() or c.isdigit() for c in after)
+    def _says(self, w: str) -> bool | None:
+        # yes: a small letter or digit after its stop at least twice, and never without a stop; no: only without one; else nothing
+        if self._inner is None:
+            self._inner = Counter(word_before(self.text, m.start(), 0).lower() for m in _STOP.finditer(self.text) if m[1] and (m[1].islower() or m[1].isdigit()))
+        inner = self._inner[w]
+        if inner < 2 and w not in self.corpus.abbreviations and w not in SEED:
+            return False if not inner else None
+        plain = w in self.words[1] if w.isalpha() else f" {w} " in self.text or f" {w}," in self.text
+        return None if plain == (inner > 0) or (not plain and inner < 2) else not plain
 
     def closes(self, word: str) -> bool:
         return word.lower() in self.corpus.closing
 
-    def proper(self, word: str) -> bool:
-        """Whether a capitalised word is a proper name: it never occurs in small letters in the document."""
+    def ordinary(self, word: str) -> bool:
+        """Whether a capitalised word is no proper name: it occurs in small letters in the document, or, where that has it neither so nor with a
+        capital inside a sentence, in the corpus."""
+        got = self._ordinary.get(word)
+        if got is None:
+            got = self._ordinary[word] = self._is_ordinary(word)
+        return got
+
+    def _is_ordinary(self, word: str) -> bool:
         low = word.lower()
-        return not (f" {low} " in self.text or f" {low}," in self.text or f" {low}." in self.text)
+        if not low:
+            return False
+        if low in self.words[0]:
+            return True
+        at = self.text.find(f" {word}")
+        while at > 0:
+            end = at + 1 + len(word)
+            if (self.text[at - 1].islower() or self.text[at - 1] == ",") and not self.text[end : end + 1].isalnum():
+                return False
+            at = self.text.find(f" {word}", end)
+        return low in self.corpus.small
 
 
 def _word_at(text: str, at: int, stop: int) -> str:
@@ -347,11 +406,13 @@ def _ends(doc: _Document, text: str, b: int, sent: int, pos: int, end: int) -> b
         return not (kind == "u" and len(word) <= 2 and word.isdigit() and _word_at(text, at, b).lower() in MONTHS)
     if len(word) == 1 or (len(word) == 2 and _is_mark(last)):
         # an initial, unless the next word is known as an ordinary one
-        return kind not in "do" and not doc.proper(_word_at(text, at, b)) and not doc.abbreviation(word)
+        return kind not in "do" and doc.ordinary(_word_at(text, at, b)) and not doc.abbreviation(word)
     if "ऀ" <= last <= "ॿ":
         return False  # Devanagari has stops only in abbreviations
     if doc.abbreviation(word):
-        return kind != "d" and doc.closes(word) and not (word.isupper() and _shouted(text, sent, pos, at, b))
+        # before a capital only an ordinary word shows a new sentence; a name may stand in either, there it counts whether the abbreviation closes any
+        new = doc.closes(word) or (kind == "u" and doc.ordinary(_word_at(text, at, b)))
+        return kind != "d" and new and not (word.isupper() and _shouted(text, sent, pos, at, b))
     return True
 
 
