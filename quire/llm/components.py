@@ -27,7 +27,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Each round every node takes the smallest of its neighbours and itself as its parent, parents are followed by pointer jumping
     (each jump doubles the distance) until none changes, and the edges are contracted to the roots; the next round works on
-    what is left. At least half of the nodes that still have edges go each round. Every step is checkpointed; the driver receives counts only. Nulls
+    what is left. Every node but the least of its neighbourhood hooks onto a smaller one or is hooked in the next round, so at least half of the nodes that still have
+    edges go in two rounds. Every step is checkpointed; the driver receives counts only. Nulls
     are dropped; repeated and mirrored edges change nothing; an empty table gives an empty result.
     """
     clean = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

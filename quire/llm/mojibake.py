@@ -1,23 +1,27 @@
 """Text decoded with the wrong character encoding: find the passages and restore them where possible.
 
-The garbled form of every plausible character under every pair of true and wrong encoding is computed beforehand and all forms are matched at once by an
-Aho-Corasick automaton; only matched spans are replaced, so correct text around them stays. Encodings whose garbled forms are ordinary letters
-(one-byte Cyrillic, two-byte East Asian) are matched as runs, each judged by what it decodes to.
+The garbled forms of all plausible characters are computed beforehand for every pair of true and wrong encoding: UTF-8 read as a one-byte encoding, one-byte
+Cyrillic and Western read as another one-byte encoding, two-byte East Asian read as Western. One Aho-Corasick automaton matches them all at once; only matched spans
+are replaced, so correct text around them stays. Forms that are ordinary letters themselves count only as chains of one pair, each judged by what
+it decodes to; where two pairs claim a place, coverage and the letter-pair statistics of the corpus arbitrate.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint
+
 #: Encodings that UTF-8 text was wrongly read as. Bytes they leave undefined are taken as control characters, as lenient readers do.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp1254")
 #: The characters whose garbled forms are looked for, as ranges of code points.
@@ -31,11 +35,19 @@ ALPHABETS = (
 _ORDINARY = set("»“”’–—…Ёё \u00a0\"")
 _LETTERS_ONLY = re.compile("[А-Яа-яЁё]+")
 _QUOTED = re.compile(r"`[^`\n]*`")
-_CONTROL = re.compile("[\u0080-\u0084\u0086-\u009f]")
-_LOST = "�"
-_BROKEN = re.compile(f"{_LOST}|{_CONTROL.pattern}")
-_HOLE = re.compile(r"(?<!\S)[^\W\d_]*[^\W\d_](\?)[^\W\d_A-ZÀ-Þ][^\W\d_]*(?=[\s.,;:!?»”)]|$)")
-_ADDRESS = re.compile("[/=:&@]")
+_LOST = "\ufffd"
+_RUSSIAN = re.compile("[а-яё]+|[А-ЯЁ][а-яё]*|[А-ЯЁ]+")
+_RUSSIAN_MARKS = "«»„“”–— "
+_FLIPPED = re.compile("[а-яё][А-ЯЁ]+")
+_CASELESS_WORD = re.compile("(?<![Ѐ-ӿ])[а-яё]{3,}(?![Ѐ-ӿ])")
+#: Words of Latin letters with an accented one; words with a question mark where a letter may have been.
+_ACCENTED = re.compile("[A-Za-zÀ-ɏ]*[À-ɏ][A-Za-zÀ-ɏ]*")
+_HOLED = re.compile(r"[A-Za-zÀ-ɏ]*\?[A-Za-zÀ-ɏ?]*[A-Za-zÀ-ɏ]")
+_ACCENT = re.compile("[À-ɏ]")
+#: Pairs of true and wrong encoding whose garbled forms may be ordinary letters; WESTERN stands for cp1252 and latin-1, whose readings differ in 0x80-0x9F only.
+WESTERN = "cp1252"
+LETTER_PAIRS = (("cp1251", WESTERN), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("gb2312", WESTERN), ("cp932", WESTERN), (WESTERN, "latin-1"))
+_CYRILLIC, _KOI_READ, _ANSI_READ, _CHINESE, _JAPANESE, _PUNCTUATION = range(len(LETTER_PAIRS))
 
 
 @lru_cache(maxsize=32)
@@ -72,29 +84,103 @@ def garbled_forms() -> Iterator[tuple[str, str]]:
                     yield form, char
 
 
+def _readings(codec: str, byte: int) -> set[str]:
+    """What a byte may become when it is read with a wrong encoding."""
+    return {_table(codec)[byte], chr(byte)} if codec == WESTERN else {_table(codec)[byte]}
+
+
+def letter_forms() -> Iterator[tuple[str, int, str]]:
+    """All garbled forms of LETTER_PAIRS: form, number of the pair, true character or characters."""
+    russian = "".join(map(chr, range(0x410, 0x450))) + "Ёё" + _RUSSIAN_MARKS.strip() + "…№"
+    for pair, (true, wrong) in enumerate(LETTER_PAIRS):
+        if pair == _PUNCTUATION:
+            for b in {*range(0x80, 0xA0)} - {0x85}:  # NEL is a line end of its own
+                yield chr(b), pair, _table(true)[b]
+        elif true in ("gb2312", "cp932"):
+            for lead, trail in product(range(0x81, 0xF0), range(0x40, 0xFF)):
+                try:
+                    char = bytes([lead, trail]).decode(true)
+                except UnicodeDecodeError:
+                    continue
+                if len(char) == 1 and (true == "cp932" or 0xB0 <= lead <= 0xD7 or lead in (0xA1, 0xA3, 0xA4, 0xA5, 0xA7)):
+                    for form in product(_readings(wrong, lead), _readings(wrong, trail)):
+                        yield "".join(form), pair, char
+            if true == "gb2312":  # marks and accented letters of the extended set
+                for lead, trail in [(0xA1, t) for t in (0xAA, 0xAD)] + [(0xA8, t) for t in range(0xA1, 0xBB)]:
+                    yield chr(lead) + chr(trail), pair, bytes([lead, trail]).decode("gbk")
+        else:
+            for char in russian:
+                try:
+                    raw = char.encode(true)
+                except UnicodeEncodeError:
+                    continue
+                for form in _readings(wrong, raw[0]):
+                    yield form, pair, char
+
+
+#: Matches of one text: of UTF-8 forms, and by pair number of the letter forms; start -> (end, true character).
+Hits = tuple[dict[int, tuple[int, str]], dict[int, dict[int, tuple[int, str]]]]
+
+
 @lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
+def _automaton() -> tuple[ahocorasick.Automaton, list[tuple[int, str | None, tuple[tuple[int, str], ...]]]]:
+    """The automaton over all forms. A form of UTF-8 alone carries its length and character; another one the place of its entry in the list."""
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    utf8: dict[str, str] = {}
     for form, char in garbled_forms():
-        if form not in a:  # the encodings are in order of preference
+        utf8.setdefault(form, char)  # the encodings are in order of preference
+    letters: dict[str, dict[int, str]] = defaultdict(dict)
+    for form, pair, char in letter_forms():
+        letters[form].setdefault(pair, char)
+    entries = []
+    for form, char in utf8.items():
+        if form not in letters:
             a.add_word(form, len(form) << 24 | ord(char))
+    for form, chars in letters.items():
+        a.add_word(form, -1 - len(entries))
+        entries.append((len(form), utf8.get(form), tuple(chars.items())))
     a.make_automaton()
-    return a
+    return a, entries
+
+
+def _hits(text: str) -> Hits:
+    automaton, entries = _automaton()
+    utf8: dict[int, tuple[int, str]] = {}
+    letters: dict[int, dict[int, tuple[int, str]]] = defaultdict(dict)
+    for last, packed in automaton.iter(text):
+        end = last + 1
+        if packed >= 0:
+            start, char = end - (packed >> 24), chr(packed & 0xFFFFFF)
+        else:
+            n, char, pairs = entries[-1 - packed]
+            start = end - n
+            for pair, c in pairs:
+                letters[pair][start] = end, c
+            if char is None:
+                continue
+        if start not in utf8 or utf8[start][0] < end:
+            utf8[start] = end, char
+    return utf8, letters
 
 
-def _matches(text: str) -> list[tuple[int, int, str]]:
-    """Leftmost longest garbled forms that don't overlap: (start, end, true character)."""
-    best: dict[int, tuple[int, str]] = {}
-    for last, packed in _automaton().iter(text):
-        n = packed >> 24
-        start = last - n + 1
-        if start not in best or best[start][0] < last + 1:
-            best[start] = (last + 1, chr(packed & 0xFFFFFF))
+def _leftmost(hits: dict[int, tuple[int, str]]) -> list[tuple[int, int, str]]:
+    """Leftmost longest matches that don't overlap: (start, end, true character)."""
     out, at = [], 0
-    for start in sorted(best):
+    for start in sorted(hits):
         if start >= at:
-            at = best[start][0]
-            out.append((start, at, best[start][1]))
+            at = hits[start][0]
+            out.append((start, at, hits[start][1]))
+    return out
+
+
+def _chains(hits: dict[int, tuple[int, str]]) -> list[tuple[int, int, str]]:
+    """Matches of one pair that follow each other without a gap, joined: (start, end, true text)."""
+    out: list[tuple[int, int, str]] = []
+    for s, e, c in _leftmost(hits):
+        if out and out[-1][1] == s:
+            out[-1] = out[-1][0], e, out[-1][2] + c
+        else:
+            out.append((s, e, c))
     return out
 
 
@@ -105,12 +191,12 @@ def _strong(text: str, start: int, end: int) -> bool:
     return text[end : end + 1].islower()  # a closing mark is not followed by a small letter
 
 
-def utf8_spans(text: str) -> list[tuple[int, int, str]]:
+def utf8_spans(text: str, hits: dict[int, tuple[int, str]]) -> list[tuple[int, int, str]]:
     """Spans of UTF-8 read as a one-byte encoding, with what they stand for.
 
     A form that correct text could contain (a capital and a quotation mark, say) counts only next to another form, or in a text with a certain one.
     """
-    found = _matches(text)
+    found = _leftmost(hits)
     if not found:
         return []
     sure = [_strong(text, s, e) for s, e, _ in found]
@@ -120,79 +206,82 @@ def utf8_spans(text: str) -> list[tuple[int, int, str]]:
     return found if any(sure) else [found[i] for i in touching]
 
 
-# --- one-byte Cyrillic ---------------------------------------------------------------------------------------------
-
-_HIGH_RUN = re.compile("[¡-ÿŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]{2,}")
-_RUSSIAN = re.compile("[а-яё]+|[А-ЯЁ][а-яё]*|[А-ЯЁ]+")
-_CYRILLIC_RUN = re.compile("[Ѐ-џҐґ─-▟]{2,}")
-_LOWER_WORD = re.compile("(?<![Ѐ-ӿ])[а-яё]{3,}(?![Ѐ-ӿ])")
-_FLIPPED = re.compile("[а-яё][А-ЯЁ]+")
+# --- forms that are letters ------------------------------------------------------------------------------------------
 
 
 def letter_pairs(text: str) -> Counter:
     """Counts of the neighbouring letters of lower-case Russian words, word ends as blanks."""
     out: Counter = Counter()
-    for w in _LOWER_WORD.findall(text):
+    for w in _CASELESS_WORD.findall(text):
         w = f" {w} "
         out.update(w[i : i + 2] for i in range(len(w) - 1))
     return out
 
 
 class Letters:
-    """How usual a Russian word's letter pairs are in a corpus."""
+    """How usual a Russian word's letter pairs are in a corpus; without any corpus all pairs are equally usual."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values())
-        first: Counter = Counter()
-        for k, n in counts.items():
-            first[k[0]] += n
-        self.cost = {k: math.log(n / first[k[0]]) for k, n in counts.items()}
+    #: Letters and the blank; half an occurrence is added to each pair.
+    KINDS = 34
+
+    def __init__(self, counts: dict[str, int] | None = None):
+        self.counts = counts or {}
+        self.first: Counter = Counter()
+        for k, n in self.counts.items():
+            self.first[k[0]] += n
 
     def score(self, word: str) -> float:
-        """Mean log probability of a word's pairs; unseen pairs cost much."""
+        """Mean log probability of a word's pairs."""
         w = f" {word.lower()} "
-        return sum(self.cost.get(w[i : i + 2], -9.0) for i in range(len(w) - 1)) / (len(w) - 1)
+        return sum(math.log((self.counts.get(w[i : i + 2], 0) + 0.5) / (self.first[w[i]] + 0.5 * self.KINDS)) for i in range(len(w) - 1)) / (len(w) - 1)
+
 
+def _alone(text: str, start: int, end: int, same: str) -> bool:
+    """Whether a chain is a whole run: no character of the same kind stands beside it."""
+    return not (start and re.match(same, text[start - 1])) and not (end < len(text) and re.match(same, text[end]))
 
-def _recode(run: str, wrong: str, true: str) -> str | None:
-    table = _bytes_of(wrong)
-    try:
-        return bytes([table[c] for c in run]).decode(true)
-    except (KeyError, UnicodeDecodeError):
-        return None
 
+def _latin_spans(text: str, hits: dict[int, dict[int, tuple[int, str]]], letters: Letters) -> list[tuple[int, int, str]]:
+    """cp1251 and the Chinese set read as Western: whole runs of accented characters that decode to one Russian word, or to common Chinese characters."""
+    russian: dict[tuple[int, int], str] = {}
+    for s, e, got in _chains(hits.get(_CYRILLIC, {})):
+        core = got.strip(_RUSSIAN_MARKS)
+        if e - s >= 3 and len(core) >= 3 and _RUSSIAN.fullmatch(core) and _alone(text, s, e, _HIGH):
+            russian[s, e] = got
+    chinese: dict[tuple[int, int], str] = {}
+    for s, e, got in _chains(hits.get(_CHINESE, {})):
+        han = sum("一" <= c <= "鿿" for c in got)
+        if ((e - s >= 4 and (2 * han >= len(got) or re.fullmatch("[А-яЁё]+|[ぁ-ヿ]+", got))) or (e - s == 2 and ord(text[s]) in (0xA1, 0xA8))) and _alone(text, s, e, _HIGH):
+            chinese[s, e] = got
+    out = chinese | russian
+    if russian.keys() <= chinese.keys():  # capitals of Russian may pair to Chinese characters, here all of them do
+        out |= {at: chinese[at] for at, got in russian.items() if letters.score(got.strip(_RUSSIAN_MARKS)) < -3.5}
+    return [(s, e, got) for (s, e), got in out.items()]
 
-def _latin_as_cyrillic(run: str) -> str | None:
-    """cp1251 read as a Western encoding: at least three accented characters in a row that decode to one Russian word."""
-    if len(run) < 3:
-        return None
-    got = _recode(run, "cp1252", "cp1251")
-    core = got.strip("«»„“”–—… ") if got else ""
-    return got if len(core) >= 3 and _RUSSIAN.fullmatch(core) else None
 
+_HIGH = "[¡-ÿŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]"
+_CYRILLIC_CHAR = "[Ѐ-џҐґ─-▟]"
 
-def _cyrillic_spans(text: str, letters: Letters | None) -> list[tuple[int, int, str]]:
+
+def _cyrillic_spans(text: str, hits: dict[int, dict[int, tuple[int, str]]], letters: Letters) -> list[tuple[int, int, str]]:
     """Russian read with another Russian encoding, by runs: the case is turned round, and the letters make unlikely words.
 
-    A word with a small first letter and capitals after it, or with box drawing in it, is certain; a word of capitals is judged by its
-    letters' usual neighbours. Once a text has a certain run, other runs of capitals of the same reading are taken too if they decode better.
+    A word with a small first letter and capitals after it, or with box drawing in it, is certain if it decodes better; a word of capitals is judged by its
+    letters' usual neighbours alone. Once a text has a certain run, other runs of capitals of the same reading are taken too if they decode better.
     """
-    runs = [(m.start(), m.end(), m[0]) for m in _CYRILLIC_RUN.finditer(text)]
     out: list[tuple[int, int, str]] = []
     most = float("-inf")
-    for wrong, true in (("koi8_r", "cp1251"), ("cp1251", "koi8_r")):
+    for pair in (_KOI_READ, _ANSI_READ):
         found, total, sure = [], 0.0, False
-        for s, e, run in runs:
-            if run.islower() and run.isalpha():  # would be capitals: no more likely than what stands there
-                continue
-            got = _recode(run, wrong, true)
-            core = got.strip("«»„“”–—… ") if got else ""
-            if not core or not _RUSSIAN.fullmatch(core):
+        for s, e, got in _chains(hits.get(pair, {})):
+            run = text[s:e]
+            if e - s < 2 or (run.islower() and run.isalpha()) or not _alone(text, s, e, _CYRILLIC_CHAR):  # small letters would be capitals: no more likely
                 continue
-            if not (run.isupper() or _FLIPPED.fullmatch(run) or not run.isalpha()):
+            core = got.strip(_RUSSIAN_MARKS)
+            if not core or not _RUSSIAN.fullmatch(core) or not (run.isupper() or _FLIPPED.fullmatch(run) or not run.isalpha()):
                 continue
-            gain = letters.score(core) - letters.score(run) if letters else 0.0
-            certain = (bool(_FLIPPED.fullmatch(run)) or (not run.isalpha() and any(c.isalpha() for c in run))) and gain >= 0
+            gain = letters.score(core) - letters.score(run)
+            certain = (bool(_FLIPPED.fullmatch(run)) or (not run.isalpha() and any(c.isalpha() for c in run))) and gain > 0
             if certain or gain > 0.5:
                 found.append((s, e, got))
                 total += gain * (len(run) + 1)
@@ -202,64 +291,29 @@ def _cyrillic_spans(text: str, letters: Letters | None) -> list[tuple[int, int,
     return out
 
 
-# --- two-byte East Asian -------------------------------------------------------------------------------------------
-
-_HAN = re.compile("[一-鿿]")
-
+_KANA_LEAD = re.compile("[\x81-\x83‚ƒ]")
+_SPECIAL = re.compile("[\x80-\x9f‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
-def _common(raw: bytes) -> bool:
-    """Whether every pair of bytes is a common Chinese character (first level of the national set), or its punctuation, kana, Cyrillic or Latin."""
-    return len(raw) % 2 == 0 and all((0xB0 <= raw[i] <= 0xD7 or raw[i] in (0xA1, 0xA3, 0xA4, 0xA5, 0xA7, 0xA8)) and raw[i + 1] >= 0xA1 for i in range(0, len(raw), 2))
 
+def _japanese_spans(text: str, hits: dict[int, dict[int, tuple[int, str]]]) -> list[tuple[int, int, str]]:
+    """Shift_JIS read as Western: chains of two characters at least whose first bytes are all in the range that Western text hardly uses, or with kana among them.
 
-def _latin_as_chinese(run: str) -> str | None:
-    """GBK read as a Western encoding: at least four characters in a row that pair to common Chinese characters."""
-    if len(run) < 4:
-        return None
-    table = _bytes_of("cp1252")
-    if any(c not in table for c in run):
-        return None
-    raw = bytes([table[c] for c in run])
-    if not _common(raw):
-        return None
-    try:
-        got = raw.decode("gb18030")
-    except UnicodeDecodeError:
-        return None
-    return got if len(_HAN.findall(got)) * 2 >= len(got) or re.fullmatch("[А-яЁё]+|[ぁ-ヿ]+", got) else None
-
-
-# Latin letters and punctuation of the Chinese set, one alone among others
-_CHINESE_LATIN = re.compile("¨[¡-º]|¡[ª\u00ad®¯°±]")
-_SJIS_RUN = re.compile("(?:[\u0081-\u009fà-ï‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ][@-~\u0080-üŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™])+")
-_JAPANESE = re.compile("[　-ヿ一-鿿！-～]+")
-
-
-def _latin_as_japanese(run: str) -> str | None:
-    """Shift_JIS read as a Western encoding."""
-    got = _recode(run, "cp1252", "cp932")
-    return got if got and _JAPANESE.fullmatch(got) and (len(got) >= 3 or _CONTROL.search(run)) else None
-
-
-def _run_spans(text: str, letters: Letters | None) -> list[tuple[int, int, str]]:
-    out = []
-    if _CONTROL.search(text) or "‚" in text or "ƒ" in text:
-        for m in _SJIS_RUN.finditer(text):
-            got = _latin_as_japanese(m[0])
-            if got:
-                out.append((m.start(), m.end(), got))
-    taken = {p for s, e, _ in out for p in range(s, e)}
-    for m in _HIGH_RUN.finditer(text):
-        if m.start() in taken:
-            continue
-        got = _latin_as_cyrillic(m[0]) or _latin_as_chinese(m[0])
-        if got:
-            out.append((m.start(), m.end(), got))
-            taken.update(range(m.start(), m.end()))
-    for m in _CHINESE_LATIN.finditer(text):
-        if m.start() not in taken:
-            out.append((m.start(), m.end(), _recode(m[0], "cp1252", "gbk") or m[0]))
-    return sorted(out + _cyrillic_spans(text, letters))
+    One character alone counts beside such a chain, or where no letter stands next to it, since 0x91-0x97 may be Western quotation marks as well.
+    """
+    chains = [(s, e, got) for s, e, got in _chains(hits.get(_JAPANESE, {})) if re.fullmatch("[　-ヿ一-鿿！-～]+", got)]
+    sure, single = [], []
+    for s, e, got in chains:
+        leads = text[s:e:2]
+        kana = any(_KANA_LEAD.match(c) for c in leads)
+        if len(got) > 1 and (kana or all(_SPECIAL.match(c) for c in leads)) and (kana or "\x80" <= max(leads) <= "\x9f" or len(got) > 2):
+            sure.append((s, e, got))
+        elif len(got) == 1 and "\x80" <= text[s] <= "\x9f":
+            single.append((s, e, got))
+    for s, e, got in single:
+        beside = (s and text[s - 1].isalpha()) or text[e : e + 1].isalpha()
+        if (sure or not beside) and text[e - 1] > "\x7f":
+            sure.append((s, e, got))
+    return sorted(sure)
 
 
 # --- whole texts ---------------------------------------------------------------------------------------------------
@@ -270,80 +324,117 @@ def _mask_quotes(text: str) -> str:
     return _QUOTED.sub(lambda m: " " * len(m[0]), text) if "`" in text else text
 
 
+def _covered(spans: list[tuple[int, int, str]]) -> set[int]:
+    return {p for s, e, _ in spans for p in range(s, e)}
+
+
 def garbled_spans(text: str, letters: Letters | None = None) -> list[tuple[int, int, str]]:
     """Garbled spans of a text outside backticks, in order: (start, end, replacement); the replacement is the span itself where it can't be restored."""
-    if text.isascii() and "?" not in text:
+    if text.isascii():
         return []
     seen = _mask_quotes(text)
-    spans = utf8_spans(seen)
-    at = {p for s, e, _ in spans for p in range(s, e)}
-    # a run wins over forms that cover less than half of it, and loses to those that cover more
-    runs = []
-    for r in _run_spans(seen, letters):
+    letters = letters or Letters()
+    utf8, hits = _hits(seen)
+    spans = utf8_spans(seen, utf8)
+    runs = _japanese_spans(seen, hits)
+    taken = _covered(runs)
+    latin = [r for r in _latin_spans(seen, hits, letters) if r[0] not in taken and r[1] - 1 not in taken]
+    at = _covered(spans)
+    # a run wins over UTF-8 forms that leave a part of it unexplained, or that are few beside the runs of its kind
+    many = sum(e - s for s, e, _ in latin) > 2 * len(at)
+    for r in [*runs, *latin, *_cyrillic_spans(seen, hits, letters)]:
         high = [p for p in range(r[0], r[1]) if seen[p] > "\x7f"]
-        if 2 * sum(p in at for p in high) < max(1, len(high)):
-            runs.append(r)
-    if runs:
-        held = {p for s, e, _ in runs for p in range(s, e)}
-        spans = [x for x in spans if x[0] not in held and x[1] - 1 not in held] + runs
-        at = {p for s, e, _ in spans for p in range(s, e)}
-    western = _table("cp1252")
-    rest = [(m.start(), m.end(), m[0] if m[0] == _LOST else western[ord(m[0])]) for m in _BROKEN.finditer(seen) if m.start() not in at]
-    if "?" in seen:  # a letter that the wrong encoding lacked
-        rest += [(m.start(1), m.end(1), "?") for m in _HOLE.finditer(seen) if not _ADDRESS.search(m[0])]
-    return sorted(spans + rest)
-
-
-def restore(text: str, letters: Letters | None = None, rounds: int = 3) -> str:
-    """The text with its garbled spans replaced, repeatedly for text that was garbled more than once."""
-    for _ in range(rounds):
+        inside = sum(p in at for p in high)
+        if inside < 0.8 * len(high) or (many and r in latin):
+            held = set(range(r[0], r[1]))
+            spans = [x for x in spans if x[0] not in held and x[1] - 1 not in held] + [r]
+    at = _covered(spans)
+    spans += [(s, e, c) for s, (e, c) in hits.get(_PUNCTUATION, {}).items() if s not in at]
+    spans += [(m.start(), m.end(), _LOST) for m in re.finditer(_LOST, seen)]
+    return sorted(spans)
+
+
+def restore(text: str, letters: Letters | None = None) -> str:
+    """The text with its garbled spans replaced, again and again for text that was garbled more than once, until nothing changes."""
+    seen = {text}
+    while True:
         spans = [s for s in garbled_spans(text, letters) if text[s[0] : s[1]] != s[2]]
-        if not spans:
-            break
         out, at = [], 0
         for s, e, new in spans:
             out += [text[at:s], new]
             at = e
         text = "".join([*out, text[at:]])
-    return text
+        if text in seen:
+            return text
+        seen.add(text)
 
 
-def corpus_letters(df: DataFrame, text: str) -> Letters | None:
-    """Letter-pair statistics of all lower-case Russian words of a text column; None if there are few. The driver receives at most one row per pair of letters."""
+def holed_words(text: str) -> list[str]:
+    """Words outside backticks with a question mark where a letter may have been lost, each once."""
+    return list(dict.fromkeys(w for w in _HOLED.findall(_mask_quotes(text)) if any(c != "?" for c in w)))
+
+
+def corpus_letters(df: DataFrame, text: str) -> Letters:
+    """Letter-pair statistics of all lower-case Russian words of a text column. The driver receives at most one row per pair of letters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
-                    total.update(letter_pairs(t))
+                total.update(letter_pairs(t))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
 
-    src = df.select(F.col(text).alias("t")).where(F.col("t").rlike("[а-яё]{3}"))
+    src = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[а-яё]{3}"))
     rows = src.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    counts = {r["pair"]: r["n"] for r in rows}
-    return Letters(counts) if sum(counts.values()) >= 2000 else None
+    return Letters({r["pair"]: r["n"] for r in rows})
+
+
+def accented_words(df: DataFrame, text: str) -> DataFrame:
+    """The accented Latin words of a text column by what remains if their accented letters become question marks: (mask, word), word null where
+    several words share the mask. Words are also taken with a capital. Counted within batches before the shuffle."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = {w for t in batch.column(0).to_pylist() for w in _ACCENTED.findall(t)}
+            words |= {w[0].upper() + w[1:] for w in words}
+            kept = sorted(words)
+            yield pa.RecordBatch.from_arrays([pa.array([_ACCENT.sub("?", w) for w in kept], pa.string()), pa.array(kept, pa.string())], names=["mask", "word"])
+
+    src = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[À-ɏ]"))
+    got = src.mapInArrow(find, "mask string, word string").groupBy("mask").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    return got.select("mask", F.when(F.col("word") == F.col("other"), F.col("word")).alias("word"))
 
 
 def garbled_values(df: DataFrame, value: str, keep: list[str], letters: Letters | None = None) -> DataFrame:
     """The rows of df whose value has a garbled passage: keep..., value, restored, n_spans.
 
     restored is the value with every passage replaced that can be restored; it equals the value where none can. Passages in
-    backticks and rare but correct spelling are left alone. Null, empty and plain ASCII values give no row. Whole values are read. No shuffle.
+    backticks and rare but correct spelling are left alone. A question mark inside a word counts as a lost letter only if the word is one of
+    the column's accented words with that letter missing. Null and empty values give no row. Whole values are read; repeated rows stay. Only words with question marks and accented words are shuffled.
     """
-    src = df.select(*keep, F.col(value).cast("string").alias("value")).where(F.col("value").rlike(r"[^\x00-\x7F]|[a-zA-Z]\?[a-z]"))
-    schema = ", ".join([*[f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep], "value string, restored string, n_spans int"])
+    src = df.select(*keep, F.col(value).cast("string").alias("value")).where(F.col("value").rlike(r"[^\x00-\x7F]|\?[a-zA-Z]"))
+    schema = ", ".join([*[f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep], "value string, restored string, n_spans int, __holes array<string>"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, fixed, n = [], [], []
+            at, fixed, n, holes = [], [], [], []
             for i, v in enumerate(batch.column("value").to_pylist()):
                 spans = garbled_spans(v, letters)
-                if spans:
+                words = holed_words(v) if "?" in v else []
+                if spans or words:
                     at.append(i)
-                    fixed.append(restore(v, letters))
+                    fixed.append(restore(v, letters) if spans else v)
                     n.append(len(spans))
+                    holes.append(words)
             take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (*keep, "value")], pa.array(fixed, pa.string()), pa.array(n, pa.int32())], names=[*keep, "value", "restored", "n_spans"])
-
-    return src.mapInArrow(find, schema)
+            own = [pa.array(fixed, pa.string()), pa.array(n, pa.int32()), pa.array(holes, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (*keep, "value")], *own], names=[*keep, "value", "restored", "n_spans", "__holes"])
+
+    names = [*keep, "value", "restored", "n_spans"]
+    found = checkpoint(src.mapInArrow(find, schema).withColumn("__row", F.monotonically_increasing_id()))
+    holes = found.select("__row", F.explode("__holes").alias("mask"))
+    known = accented_words(df, value).join(holes.select("mask").distinct(), "mask", "left_semi")
+    fixes = holes.join(known, "mask").groupBy("__row").agg(F.count(F.lit(1)).alias("__n"), F.collect_list(F.struct("mask", F.coalesce("word", "mask").alias("word"))).alias("__fix"))
+    filled = F.aggregate("__fix", F.col("restored"), lambda t, f: F.replace(t, f["mask"], f["word"]))
+    both = found.join(fixes, "__row", "left").where((F.col("n_spans") > 0) | F.col("__n").isNotNull())
+    return both.withColumn("restored", F.when(F.col("__n").isNull(), F.col("restored")).otherwise(filled)).withColumn("n_spans", (F.col("n_spans") + F.coalesce("__n", F.lit(0))).cast("int")).select(*names)

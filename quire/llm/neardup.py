@@ -19,8 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.skew import HOT_ROWS, hot_keys, lookup
 from quire.session import checkpoint
 
+#: Share of all band rows from which a band's rows are taken apart; so there are at most a thousand such bands.
+HOT_BAND = 0.001
+
 _WORDS = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -199,7 +203,7 @@ def _block_pairs(hot: DataFrame, sketches: DataFrame, p: Sketching, most: int) -
     one task that compares their bitmaps and returns only the close pairs."""
     words = p.bits // 64
     sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("__n"))
-    own = hot.join(sizes, "key").join(sketches, "rep").withColumn("__i", F.pmod(F.xxhash64("rep"), F.col("__n")).cast("int"))
+    own = lookup(hot, sizes, ["key"], "inner").join(sketches, "rep").withColumn("__i", F.pmod(F.xxhash64("rep"), F.col("__n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
     spread = own.withColumn("__j", other).select("key", F.least("__i", "__j").alias("lo"), F.greatest("__i", "__j").alias("hi"), (F.col("__i") <= F.col("__j")).alias("first"), "rep", *[f"s{i}" for i in range(words)])
 
@@ -242,10 +246,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, params: Sketching | None
     own = sig.join(members.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sketches = own.select(F.col("id").alias("rep"), *[f"s{i}" for i in range(words)])
     bands = own.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
-    paired = checkpoint(bands.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_pairs(p.bucket), "key long, a long, b long").distinct())
+    # a band that many classes share would stream through one task: its rows go to the blocks at once
+    popular = hot_keys(bands, "key", HOT_BAND, HOT_ROWS) if reps.count() >= HOT_ROWS else None
+    few = bands if popular is None else bands.join(F.broadcast(popular), "key", "left_anti")
+    paired = checkpoint(few.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_pairs(p.bucket), "key long, a long, b long").distinct())
     low, high = p.most_ones(p.limit - p.slack), p.most_ones(min(1.0, p.limit + p.slack))
     pairs = paired.where(F.col("b").isNotNull()).select("a", "b")
     hot = paired.where(F.col("b").isNull()).select("key", F.col("a").alias("rep"))
+    if popular is not None:
+        hot = hot.unionByName(bands.join(F.broadcast(popular), "key", "left_semi"))
     if hot.limit(1).count():
         pairs = pairs.unionByName(_block_pairs(hot, sketches, p, low)).distinct()
     near = pairs.join(sketches.select(F.col("rep").alias("a"), F.struct(*[f"s{i}" for i in range(words)]).alias("x")), "a")

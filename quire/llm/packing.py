@@ -23,28 +23,37 @@ GROUP_ITEMS = 100_000
 ROUNDS = 3
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Fewest bins any packing needs, by dual feasible functions over the histogram of sizes.
+#: Elements of the tables that lower_bound holds at a time (8 bytes each, three of them).
+TABLE = 1 << 20
+
+
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Fewest bins any packing needs, by dual feasible functions over the distinct sizes (each `counts` times).
 
     Threshold functions (sizes above capacity - e count as a whole bin, below e as nothing) are composed with
-    rounding functions (multiples of capacity/(k+1) stay, others round down to multiples of capacity/k).
+    rounding functions (multiples of capacity/(k+1) stay, others round down to multiples of capacity/k). The thresholds are
+    those at which a function changes on the sizes present, at most 2,048 of them; memory is bounded whatever the capacity.
     """
     sizes = np.asarray(sizes, np.int64)
-    sizes = sizes[sizes > 0]
-    if not len(sizes):
+    x, n = np.unique(sizes, return_counts=True)
+    if counts is not None:
+        n = np.bincount(np.searchsorted(x, sizes), np.asarray(counts, np.float64), len(x))
+    n, x = n[x > 0].astype(np.float64), x[x > 0]
+    if not len(x):
         return 0
-    hist = np.bincount(sizes, minlength=capacity + 1).astype(np.float64)
-    x = np.arange(capacity + 1)
-    best = math.ceil(int(sizes.sum()) / capacity)
-    es = np.arange(0, capacity // 2 + 1, max(1, capacity // 2048))
-    cut = np.where(x[None, :] > capacity - es[:, None], capacity, np.where(x[None, :] < es[:, None], 0, x[None, :]))
-    totals = cut @ hist
-    best = max(best, math.ceil(totals.max() / capacity - 1e-9))
-    for k in range(1, 11):
-        n = (k + 1) * cut
-        # in units of capacity/k; an exact multiple of capacity/(k+1) keeps its value
-        f = np.where(n % capacity == 0, cut * (k / capacity), n // capacity)
-        best = max(best, math.ceil((f @ hist).max() / k - 1e-9))
+    best = math.ceil(round(x @ n) / capacity)
+    es = np.unique(np.concatenate([[0], x + 1, capacity - x + 1, x, capacity - x]))
+    es = es[(es >= 0) & (2 * es <= capacity)]
+    es = es[:: max(1, len(es) // 2048)]
+    for at in range(0, len(es), max(1, TABLE // len(x))):
+        e = es[at : at + max(1, TABLE // len(x)), None]
+        cut = np.where(x[None, :] > capacity - e, capacity, np.where(x[None, :] < e, 0, x[None, :]))
+        best = max(best, math.ceil((cut @ n).max() / capacity - 1e-9))
+        for k in range(1, 11):
+            m = (k + 1) * cut
+            # in units of capacity/k; an exact multiple of capacity/(k+1) keeps its value
+            f = np.where(m % capacity == 0, cut * (k / capacity), m // capacity)
+            best = max(best, math.ceil((f @ n).max() / k - 1e-9))
     return int(best)
 
 
@@ -149,3 +158,21 @@ def _pack_groups(items: DataFrame, keep: list[str], capacity: int, groups: int,
 def container_fill(packed: DataFrame) -> DataFrame:
     """Per container: container, n_pieces, n_tokens."""
     return packed.groupBy("container").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n").alias("n_tokens"))
+
+
+def certificates(packed: DataFrame, capacity: int) -> DataFrame:
+    """Per partition of a packing: part, n_items, bins, bound, gap. bound is computed anew from the sizes the partition ended with, so gap says how many
+    bins at most a better packing of the partition would save. Pieces that fill a container each are the part `w`, with no gap. Grouped by size first: a
+    task gets one row per distinct size of its partition.
+    """
+    part = F.when(F.col("container").startswith("w-"), F.lit("w")).otherwise(F.regexp_replace("container", "-[0-9]+$", ""))
+    rows = packed.withColumn("part", part)
+    bins = rows.groupBy("part", "container").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy("part").agg(F.sum("k").alias("n_items"), F.count(F.lit(1)).alias("bins"))
+    sizes = rows.where(F.col("part") != "w").groupBy("part", "n").count()
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "least": [lower_bound(pdf["n"].to_numpy(), capacity, pdf["count"].to_numpy())]})
+
+    bounds = sizes.groupBy("part").applyInPandas(bound, "part string, least long")
+    both = bins.join(bounds, "part", "left").withColumn("bound", F.when(F.col("part") == "w", F.col("bins")).otherwise(F.greatest("least", F.lit(1))))
+    return both.select("part", "n_items", "bins", "bound", (F.col("bins") - F.col("bound")).alias("gap"))

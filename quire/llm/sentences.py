@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint
+
 # Abbreviations held for certain where neither document nor corpus says anything; lower case, without the last stop.
 SEED = set(
     "dr prof mr mrs sr sra dra dott mme mlle hr no nr fig figs sec vs approx ca cf e.g i.e p.ej p.ex z.b d.h art pág págs bzw "
@@ -157,10 +159,10 @@ def text_blocks(text: str) -> tuple[str, list[tuple[int, int]]]:
 
 def word_before(text: str, stop: int, least: int) -> str:
     """The word (letters, digits, inner stops and hyphens) that ends before position stop."""
-    tail = text[max(least, stop - 24) : stop]
-    if tail and not tail[-1].isspace():
-        tail = tail.rsplit(None, 1)[-1]
-        if tail.isalnum():  # the usual case
+    near = text[max(least, stop - 24) : stop]
+    if near and not near[-1].isspace():
+        tail = near.rsplit(None, 1)[-1]
+        if tail.isalnum() and (len(tail) < len(near) or stop - len(near) == least):  # the usual case: the word begins in sight
             return tail
     i = stop
     while i > least and (text[i - 1].isalnum() or text[i - 1] in ".-" or (text[i - 1] > "˿" and not text[i - 1].isspace() and text[i - 1] not in "“”„‘’‚…—–‹›")):
@@ -208,7 +210,7 @@ _FENCED = re.compile(r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t\r]*$|\Z)")
 
 def stop_evidence(text: str | None) -> Counter:
     """Counts (word, kind) for the words before full stops in a document: what follows is l a small letter or digit, u a capital or other letter,
-    e the end of the block; p counts occurrences without a stop, for words of up to four letters that have one somewhere in the document.
+    e the end of the block.
     """
     out: Counter = Counter()
     if not text or "." not in text:
@@ -221,22 +223,17 @@ def stop_evidence(text: str | None) -> Counter:
             continue
         if nxt != "|":  # a table row
             out[w.lower(), "e" if not nxt else "l" if nxt.islower() or nxt.isdigit() else "u"] += 1
-    for w, k in list(out):
-        if k == "u" and len(w) <= 4:
-            n = text.count(f" {w} ") + text.count(f" {w},") + text.count(f" {w.capitalize()} ") + text.count(f" {w} ")
-            if n:
-                out[w, "p"] += n
     return out
 
 
-#: A capitalised word after a full stop; a word of small letters that stands by itself.
+#: A capitalised word after a full stop; a word that stands by itself, also one with a stop after it.
 _STARTER = re.compile(r"\.[ \t\r\n\u00a0\u202f]+[\"“„«‹‘'(\[*_]*([^\W\d_]+)")
 _WORD = re.compile(r"(?<![\w.'’-])[^\W\d_]+(?![\w'’-])")
 _WORD_STOP = re.compile(r"(?<![\w.'’-])[^\W\d_]+(?![\w'’-])\.?")
 
 
 def letter_evidence(text: str | None) -> Counter:
-    """Counts (word, kind), all in small letters: c a capitalised word after a full stop, s an occurrence in small letters."""
+    """Counts (word, kind), all in small letters: c a capitalised word after a full stop, s an occurrence in small letters, n any occurrence."""
     out: Counter = Counter()
     if not text:
         return out
@@ -246,21 +243,27 @@ def letter_evidence(text: str | None) -> Counter:
         if w[0].isupper():
             out[w.lower(), "c"] += 1
     for w, n in Counter(_WORD.findall(text)).items():
-        if w.islower():
+        low = w.lower()
+        if w == low:
             out[w, "s"] += n
+        out[low, "n"] += n
     return out
 
 
+#: A word counts as known to the corpus from this share of all its words on; so at most as many words reach the driver as this has in one.
+LEAST_SHARE = 1e-6
+
+
 def corpus_words(df: DataFrame, text: str) -> Words:
     """Abbreviations and small-letter words of a corpus, from all its texts.
 
     A word is an abbreviation if a stop after it is followed by a small letter or digit at least five times and in at least three cases of ten,
-    or if it has up to four letters and stands before capitals at least twenty times but hardly ever without a stop or at the end of a block. It may close a sentence
-    if at least one in two hundred of its stops ends a block. The driver receives only words that pass; these have at least five (twenty) occurrences
-    each, and made-up or ordinary words don't pass. A word seen with a capital after a stop is an ordinary one if it occurs at least five times
-    in small letters; of these there are as many as the vocabulary has.
+    or if it stands before capitals at least twenty times but hardly ever without a stop or at the end of a block: an ordinary word, however long, does both. It may close a
+    sentence if at least one in two hundred of its stops ends a block. A word seen with a capital after a stop is an ordinary one if it occurs at least five times
+    in small letters. All these counts must also reach LEAST_SHARE of the corpus's words, so that the driver receives at most a million words whatever the corpus.
     """
     src = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    kinds = "luecsn"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,14 +272,17 @@ def corpus_words(df: DataFrame, text: str) -> Words:
                 total.update(stop_evidence(t))
                 total.update(letter_evidence(t))
             words = sorted({w for w, _ in total})
-            cols = [pa.array([total[w, k] for w in words], pa.int64()) for k in "luepcs"]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *cols], names=["word", *"luepcs"])
+            cols = [pa.array([total[w, k] for w in words], pa.int64()) for k in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *cols], names=["word", *kinds])
 
-    rows = src.mapInArrow(count, "word string, l long, u long, e long, p long, c long, s long").groupBy("word").agg(*[F.sum(k).alias(k) for k in "luepcs"])
+    rows = src.mapInArrow(count, "word string, " + ", ".join(f"{k} long" for k in kinds)).groupBy("word").agg(*[F.sum(k).alias(k) for k in kinds])
+    rows = checkpoint(rows)
+    share = LEAST_SHARE * (rows.agg(F.sum("n")).first()[0] or 0)
     dotted = F.col("l") + F.col("u") + F.col("e")
-    inner = (F.col("l") >= 5) & (F.col("l") >= 0.3 * dotted)
-    title = (F.length("word") <= 4) & (F.col("u") >= 20) & (F.col("p") * 50 <= dotted) & (F.col("e") * 100 <= dotted)
-    small = (F.col("c") > 0) & (F.col("s") >= 5)
+    plain = F.greatest(F.col("n") - dotted, F.lit(0))
+    inner = (F.col("l") >= max(5, share)) & (F.col("l") >= 0.3 * dotted)
+    title = (F.col("u") >= max(20, share)) & (plain * 50 <= dotted) & (F.col("e") * 100 <= dotted)
+    small = (F.col("c") > 0) & (F.col("s") >= max(5, share))
     out = Words()
     for r in rows.select("*", (inner | title).alias("abbreviation"), small.alias("small"), (F.col("word").isin(*SEED) & (dotted >= 20)).alias("seed")).where("abbreviation or small or seed").collect():
         if r["small"]:

@@ -1,4 +1,4 @@
-from quire.llm.sentences import Words, corpus_words, sentence_ends
+from quire.llm.sentences import Words, corpus_words, sentence_ends, word_before
 
 WORDS = Words({"no", "dr", "p.m"}, set())
 
@@ -36,3 +36,16 @@ def test_the_list_comes_last(spark):
     words = corpus_words(docs, "t")
     assert "sec" in words.denied and "sec" not in words.abbreviations
     assert len(sentence_ends("By sec. Xan came.", words)) == 2 and len(sentence_ends("By sec. Xan came.", Words())) == 1
+
+
+def test_long_words():
+    # a word is taken whole, whatever its length
+    assert word_before("by abcdefghijklmnopqrstuvwxyzabcdefgh. X", 37, 0) == "abcdefghijklmnopqrstuvwxyzabcdefgh"
+    long = "blorbicvexolumnitrasquondapherixa"
+    assert cut(f"In {long}. 5 and {long}. 6 it was. By {long}. Xan it is.") == [f"In {long}. 5 and {long}. 6 it was.", f"By {long}. Xan it is."]
+
+
+def test_always_with_a_stop(spark):
+    docs = spark.createDataFrame([("They met abteilungsltr. Xan there. They slept. So they slept on.",)] * 25, "t string")
+    words = corpus_words(docs, "t")
+    assert "abteilungsltr" in words.abbreviations and "slept" not in words.abbreviations
