@@ -11,8 +11,8 @@ import os
 import re
 import struct
 import zoneinfo
-from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from collections.abc import Callable, Iterator
+from datetime import date, datetime, timezone
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The transition tables hold every rule's changes up to this year; later local times keep the last offset.
-HORIZON = 2100
+#: The transition tables hold every rule's changes up to this year. The calendar and with it all rules repeat after 400 years, so a later time is looked up
+#: that many years earlier; the table holds more than 400 years of the last rule.
+HORIZON = 2500
+CYCLE = 146_097 * 86_400
 
 _WORD = re.compile(r"\[[^\[\]]*\]|[^\W\d_]+(?:[/_][^\W\d_]+|-[^\W\d_]+)*")
 _DIGIT = re.compile(r"[0-9]")
@@ -55,29 +57,80 @@ _SHAPE = re.compile(
 )
 
 
-def read_zone(key: str) -> tuple[np.ndarray, np.ndarray]:
-    """The transition table of one IANA zone: UTC seconds at which an offset begins (the first is minus infinity), offsets in seconds."""
-    raw = None
+# A zone file's footer: standard name and offset, then perhaps the summer name and offset, and the dates of change.
+_NAME, _CLOCK = r"(?:<[^>]+>|[A-Za-z]+)", r"[+-]?\d+(?::\d+){0,2}"
+_FOOTER = re.compile(rf"{_NAME}({_CLOCK})(?:{_NAME}({_CLOCK})?,([^,/]+)(?:/({_CLOCK}))?,([^,/]+)(?:/({_CLOCK}))?)?")
+
+
+def _seconds(clock: str) -> int:
+    parts = [int(x) for x in clock.lstrip("+-").split(":")] + [0, 0]
+    return (parts[0] * 3600 + parts[1] * 60 + parts[2]) * (-1 if clock.startswith("-") else 1)
+
+
+def _day(rule: str, year: int) -> int:
+    """Days since 1970 of a footer's date: Mm.w.d (the w-th weekday of a month, 5 the last), Jn (29 February not counted), n (from 0)."""
+    if rule[0] == "M":
+        month, week, weekday = (int(x) for x in rule[1:].split("."))
+        first = date(year, month, 1).toordinal()
+        day = first + (weekday - first) % 7 + 7 * (week - 1)  # ordinal 7 is a Sunday
+        if week == 5 and day >= (date(year + month // 12, month % 12 + 1, 1)).toordinal():
+            day -= 7
+    else:
+        n = int(rule.lstrip("J"))
+        leap = rule[0] == "J" and n >= 60 and year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+        day = date(year, 1, 1).toordinal() + n - (rule[0] == "J") + leap
+    return day - date(1970, 1, 1).toordinal()
+
+
+def footer_changes(footer: str, years: range) -> list[tuple[int, int]]:
+    """The changes (UTC second, offset from then on) that a footer's rule makes in the given years, ascending."""
+    m = _FOOTER.fullmatch(footer)
+    if m is None or m[3] is None:
+        return []
+    standard = -_seconds(m[1])
+    summer = -_seconds(m[2]) if m[2] else standard + 3600
+    out = []
+    for year in years:
+        out.append((_day(m[3], year) * 86400 + _seconds(m[4] or "2") - standard, summer))
+        out.append((_day(m[5], year) * 86400 + _seconds(m[6] or "2") - summer, standard))
+    return sorted(out)
+
+
+def zone_bytes(key: str) -> bytes:
+    """The zone file of an IANA name, from the system or the tzdata package."""
     for root in zoneinfo.TZPATH:
         p = os.path.join(root, *key.split("/"))
         if os.path.isfile(p):
             with open(p, "rb") as f:
-                raw = f.read()
-            break
-    if raw is None:
-        from importlib import resources
+                return f.read()
+    from importlib import resources
+
+    return resources.files("tzdata.zoneinfo").joinpath(*key.split("/")).read_bytes()
 
-        raw = resources.files("tzdata.zoneinfo").joinpath(*key.split("/")).read_bytes()
+
+def zone_files() -> dict[str, bytes]:
+    """All zone files of this machine's release, about 600 of some KB. Built on the driver and shipped, so that all workers convert by one release."""
+    out = {}
+    for key in sorted(zoneinfo.available_timezones()):
+        raw = zone_bytes(key)
+        if raw[:4] == b"TZif":
+            out[key] = raw
+    return out
+
+
+def read_zone(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The transition table of a zone file: UTC seconds at which an offset begins (the first is minus infinity), offsets in seconds."""
     if raw[:4] != b"TZif":
-        raise ValueError(f"no zone data: {key}")
+        raise ValueError("no zone data")
 
     def counts(at: int) -> tuple[int, ...]:
         return struct.unpack(">6l", raw[at + 20 : at + 44])  # isutc, isstd, leap, time, type, char
 
-    at, wide = 0, 4
-    if raw[4:5] >= b"2":  # the second block has 64-bit times
+    at, wide, footer = 0, 4, ""
+    if raw[4:5] >= b"2":  # the second block has 64-bit times, and a footer follows it
         u, s, leap, n, kinds, chars = counts(0)
         at, wide = 44 + n * 5 + kinds * 6 + chars + leap * 8 + s + u, 8
+        footer = raw[raw.rindex(b"\n", 0, -1) + 1 : -1].decode("ascii")
     _, _, _, n, kinds, _ = counts(at)
     at += 44
     times = np.frombuffer(raw, ">i8" if wide == 8 else ">i4", n, at).astype(np.int64)
@@ -89,28 +142,11 @@ def read_zone(key: str) -> tuple[np.ndarray, np.ndarray]:
     for t, w in zip(times.tolist(), which.tolist()):
         starts.append(t)
         offsets.append(types[w][0])
-    # rules without an end stand in the file's footer: walk them by probing, then bisecting
-    zone = zoneinfo.ZoneInfo(key)
-
-    def offset(sec: int) -> int:
-        return int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=sec)).astimezone(zone).utcoffset().total_seconds())
-
-    lo = max(starts[-1] + 1, 0)
-    end, last = int(datetime(HORIZON, 1, 1, tzinfo=timezone.utc).timestamp()), offsets[-1]
-    year = 366 * 86400
-    if lo < end and any(offset(lo + k * 14 * 86400) != last for k in range(1, 2 * year // (14 * 86400))):
-        while lo < end:
-            hi = min(lo + 14 * 86400, end)
-            if offset(hi) != last:
-                a, b = lo, hi
-                while b - a > 1:
-                    m = (a + b) // 2
-                    a, b = (m, b) if offset(m) == last else (a, m)
-                last = offset(b)
-                starts.append(b)
-                offsets.append(last)
-                hi = b
-            lo = hi + 1
+    since = max(starts[-1], 0)
+    for t, offset in footer_changes(footer, range(1970 + since // 31_556_952, HORIZON + 1)):
+        if t > since:
+            starts.append(t)
+            offsets.append(offset)
     return np.array(starts, np.int64), np.array(offsets, np.int64)
 
 
@@ -129,22 +165,36 @@ def zone_version() -> str:
         return "unknown"
 
 
-@lru_cache(maxsize=1024)
-def zone_table(key: str) -> tuple[np.ndarray, np.ndarray] | None:
-    if not key or len(key) > 64 or not re.fullmatch(r"[A-Za-z0-9_+\-]+(?:/[A-Za-z0-9_+\-]+)*", key):
-        return None
-    try:
-        return read_zone(key)
-    except Exception:
-        return None
+Tables = Callable[[str], tuple[np.ndarray, np.ndarray] | None]
+
+
+def zone_tables(files: dict[str, bytes] | None = None) -> Tables:
+    """A lookup of transition tables by IANA name, None for unknown names: from the given files, or from this machine's."""
+
+    @lru_cache(maxsize=1024)
+    def table(key: str) -> tuple[np.ndarray, np.ndarray] | None:
+        if not key or len(key) > 64 or not re.fullmatch(r"[A-Za-z0-9_+\-]+(?:/[A-Za-z0-9_+\-]+)*", key):
+            return None
+        try:
+            return read_zone(zone_bytes(key) if files is None else files[key])
+        except (KeyError, OSError, ValueError, ModuleNotFoundError):
+            return None
+
+    return table
+
 
+_OWN_TABLES = zone_tables()
 
-def local_to_utc(local: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray]:
+
+def local_to_utc(local: np.ndarray, key: str, tables: Tables = _OWN_TABLES) -> tuple[np.ndarray, np.ndarray]:
     """UTC seconds of local wall-clock seconds, and whether the local time names exactly one instant in the zone."""
-    table = zone_table(key)
+    table = tables(key)
     if table is None:
         return local, np.zeros(len(local), bool)
     starts, offsets = table
+    last = int(datetime(HORIZON - 50, 1, 1, tzinfo=timezone.utc).timestamp())
+    ahead = np.maximum(0, -((last - local) // CYCLE)) * CYCLE
+    local = local - ahead
     hits = np.zeros(len(local), np.int64)
     utc = local.copy()
     for off in np.unique(offsets):
@@ -152,7 +202,7 @@ def local_to_utc(local: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray]:
         ok = offsets[np.searchsorted(starts, u, "right") - 1] == off
         hits += ok
         utc = np.where(ok, u, utc)
-    return utc, hits == 1
+    return utc + ahead, hits == 1
 
 
 def shape(value: str) -> tuple[str, list[str], str]:
@@ -162,6 +212,12 @@ def shape(value: str) -> tuple[str, list[str], str]:
     return _DIGIT.sub("9", flat), words, flat
 
 
+#: A fraction beyond its sixth digit.
+_FINER = re.compile(r"([.,][0-9]{6})[0-9]+")
+#: No mask of _SHAPE is longer once fractions are cut to six digits (its longest has 78 characters); longer ones need no look at the grammar and no place in the cache.
+LONGEST_MASK = 100
+
+
 @lru_cache(maxsize=100_000)
 def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     """The parser of a mask: spans of its fields (for words: place in the word list); None for what is no time."""
@@ -193,7 +249,7 @@ def _digits(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     return part @ (10 ** np.arange(part.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
-def to_epoch_us(values: list[str | None], zones: list[str | None], orders: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def to_epoch_us(values: list[str | None], zones: list[str | None], orders: list[str | None], tables: Tables = _OWN_TABLES) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds since 1970 UTC, and whether each value names exactly one instant; the values need not share a form.
 
     zones hold where a value has no zone of its own; orders (dmy or mdy) rule dates written with slashes and the year last.
@@ -204,12 +260,14 @@ def to_epoch_us(values: list[str | None], zones: list[str | None], orders: list[
     words_of: list[list[str]] = [[]] * n
     flats: list[str] = [""] * n
     for i, v in enumerate(values):
-        if v is None or len(v) > 200:
+        if v is None:
             continue
-        v = v.strip().replace("−", "-")
+        v = _FINER.sub(r"\1", v.strip()).replace("−", "-")
         if not v:
             continue
         mask, words_of[i], flats[i] = shape(v)
+        if len(mask) > LONGEST_MASK:
+            continue
         by_mask.setdefault(mask, []).append(i)
     for mask, rows in by_mask.items():
         spans = parser_of(mask)
@@ -221,12 +279,12 @@ def to_epoch_us(values: list[str | None], zones: list[str | None], orders: list[
             v = _digits(chars, spans["epoch"])
             result[at], good[at] = v * (1_000_000 if len(mask) == 10 else 1000), True
             continue
-        us, ok = _convert(spans, chars, [words_of[i] for i in rows], [zones[i] for i in rows], [orders[i] for i in rows])
+        us, ok = _convert(spans, chars, [words_of[i] for i in rows], [zones[i] for i in rows], [orders[i] for i in rows], tables)
         result[at], good[at] = us, ok
     return result, good
 
 
-def _convert(spans: dict, chars: np.ndarray, words: list[list[str]], zones: list, orders: list) -> tuple[np.ndarray, np.ndarray]:
+def _convert(spans: dict, chars: np.ndarray, words: list[list[str]], zones: list, orders: list, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     ok = np.ones(n, bool)
     year = _digits(chars, spans["y"])
@@ -305,24 +363,28 @@ def _convert(spans: dict, chars: np.ndarray, words: list[list[str]], zones: list
         by_zone.setdefault(named[i], []).append(i)
     for key, rows in by_zone.items():
         at = np.array(rows)
-        utc[at], ok[at] = local_to_utc(local[at], key)
+        utc[at], ok[at] = local_to_utc(local[at], key, tables)
     return utc * 1_000_000 + frac, ok
 
 
-def normalize_times(df: DataFrame, value: str, zone: str, order: str, keep: list[str]) -> DataFrame:
-    """Rows of df whose value names exactly one instant: the columns keep, and epoch_us.
+def normalize_times(df: DataFrame, value: str, zone: str, order: str, keep: list[str], stamp: str | None = None) -> DataFrame:
+    """Rows of df whose value names exactly one instant: the columns keep, epoch_us, and, if a name is given for it, the release of the zone data.
 
-    value is any text; zone an IANA name that holds where the value has none of its own; order dmy or mdy. Null, empty,
-    overlong (over 200 characters) and unreadable values, impossible dates, unknown zones, values without any zone, and local times that
+    value is any text of any length; zone an IANA name that holds where the value has none of its own; order dmy or mdy. The zone files are read once, on the
+    driver, and go with the job. Null, empty and unreadable values, impossible dates, unknown zones, values without any zone, and local times that
     the clocks skipped or showed twice give no row. Repeated rows stay repeated. No shuffle.
     """
     src = df.select(*keep, F.col(value).cast("string").alias("__v"), F.col(zone).cast("string").alias("__z"), F.col(order).cast("string").alias("__o"))
     schema = ", ".join([*[f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep], "epoch_us long"])
 
+    files = zone_files()
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = zone_tables(files)
         for batch in batches:
-            us, ok = to_epoch_us(*(batch.column(c).to_pylist() for c in ("__v", "__z", "__o")))
+            us, ok = to_epoch_us(*(batch.column(c).to_pylist() for c in ("__v", "__z", "__o")), tables)
             at = pa.array(np.nonzero(ok)[0])
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], pa.array(us[ok])], names=[*keep, "epoch_us"])
 
-    return src.mapInArrow(convert, schema)
+    got = src.mapInArrow(convert, schema)
+    return got if stamp is None else got.withColumn(stamp, F.lit(zone_version()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.nested import group_table, nested_objects, nested_triples
+from quire.operators.nested import group_table, list_table, nested_objects, nested_rows, nested_triples, one_version
 from quire.operators.orphans import dangling_by_period, dangling_page_references
 from quire.operators.timestamps import normalize_times
 from quire.plans.skew import lookup
@@ -17,20 +17,44 @@ LIST_KEYS = ("verified", "sources", "rounds", "findings")
 TIME_FIELDS = ("generated.at", "stale_after", "verified[].at", "sources[].last_modified")
 
 
+def _page_rows(spark: SparkSession, d: str) -> DataFrame:
+    return nested_rows(table(spark, d, "bundle_page"), "page_id", "frontmatter", LIST_KEYS, keep=("ingested_at",))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = nested_objects(table(spark, d, "bundle_page"), "page_id", "frontmatter", LIST_KEYS)
-    return found.withColumnRenamed("record", "page_id")
+    return nested_objects(_page_rows(spark, d)).withColumnRenamed("record", "page_id")
+
+
+#: The tables of the frontmatter: group, and the keys that have columns of their own.
+PAGE_TABLES = {
+    "p1_root_table": ("", ("type", "title", "description", "status", "resource", "stale_after")),
+    "p1_generated_table": ("generated", ("by", "at")),
+    "p1_verified_table": ("verified[]", ("by", "at")),
+    "p1_sources_table": ("sources[]", ("id", "resource", "title", "author", "usage_count", "last_modified")),
+    "p1_review_table": ("review", ()),
+    "p1_rounds_table": ("review.rounds[]", ()),
+    "p1_findings_table": ("review.rounds[].findings[]", ("code", "line")),
+}
+
+
+def _page_table(name: str, group: str, columns: tuple[str, ...]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        got = group_table(one_version(_page_rows(spark, d), "ingested_at"), group, columns)
+        return got.withColumnRenamed("record", "page_id").withColumn("other", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("other"))), {"ignoreNullFields": "false"}))
+
+    run.__name__ = name
+    return run
 
 
-def p1_sources_table(spark: SparkSession, d: str) -> DataFrame:
-    t = nested_triples(table(spark, d, "bundle_page"), "page_id", "frontmatter", LIST_KEYS)
-    got = group_table(t, "sources[]", ["id", "resource", "title", "author", "usage_count", "last_modified"])
-    return got.withColumnRenamed("record", "page_id").withColumn("other", F.to_json("other"))
+def p1_all_tables(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each table of the frontmatter has, lists of scalars included."""
+    rows = one_version(_page_rows(spark, d), "ingested_at")
+    return rows.groupBy("grp", "is_object").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record").alias("n_records"))
 
 
-def p1_findings_table(spark: SparkSession, d: str) -> DataFrame:
-    t = nested_triples(table(spark, d, "bundle_page"), "page_id", "frontmatter", LIST_KEYS)
-    return group_table(t, "review.rounds[].findings[]", ["code", "line"]).withColumnRenamed("record", "page_id").drop("other")
+def p1_list_items(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of all lists of scalars."""
+    return list_table(one_version(_page_rows(spark, d), "ingested_at")).withColumnRenamed("record", "page_id")
 
 
 def _reference_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -45,7 +69,7 @@ def p3_by_period(spark: SparkSession, d: str) -> DataFrame:
     return dangling_by_period(p3_found(spark, d))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _times(spark: SparkSession, d: str, stamp: str | None = None) -> DataFrame:
     mapping = table(spark, d, "import_mapping").where(F.col("vault").isNotNull())
     mapping = mapping.select("vault", "zone", "date_order", F.col("timestamp").alias("prop")).dropDuplicates(["vault"])
     leaves = nested_triples(table(spark, d, "bundle_page"), "page_id", "frontmatter", LIST_KEYS, kinds=("string", "number"), groups=TIME_FIELDS, keep=("vault",))
@@ -53,8 +77,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     notes = lookup(table(spark, d, "source_note"), mapping, ["vault"], "inner").where(F.col("prop").isNotNull())
     notes = notes.select(F.lit("note").alias("holder"), F.col("note_id").alias("holder_id"), F.lit("props").alias("field"), "vault", F.element_at("props", F.col("prop")).alias("value"))
     both = lookup(pages.unionByName(notes).where(F.col("value").isNotNull()), mapping.drop("prop"), ["vault"])
-    return normalize_times(both, "value", "zone", "date_order", ["holder", "holder_id", "field"]).distinct()
+    return normalize_times(both, "value", "zone", "date_order", ["holder", "holder_id", "field"], stamp).distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _times(spark, d)
+
+
+def p5_stamped(spark: SparkSession, d: str) -> DataFrame:
+    """The instants with the release of the zone data they come from."""
+    return _times(spark, d, "zone_release")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sources_table, p1_findings_table, p3_found, p3_by_period, p5_found)}
+_TABLES = {n: _page_table(n, g, c) for n, (g, c) in PAGE_TABLES.items()}
+QUERIES = {f.__name__: f for f in (p1_found, p1_all_tables, p1_list_items, p3_found, p3_by_period, p5_found, p5_stamped)} | _TABLES
 SQL: dict[str, str] = {}

@@ -61,11 +61,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def is_single_machine(master: str) -> bool:
+    """Whether a master runs all its executors on this machine."""
+    return master.startswith("local")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset on a single machine (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not is_single_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quire-checkpoint-')}")
     return sc.getCheckpointDir()
 

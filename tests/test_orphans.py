@@ -19,6 +19,17 @@ def test_match_semantics(spark, match, ids):
     assert sorted(r.id for r in everything) == [1, 2, 4, 5]
 
 
+def test_intervals_and_facts(spark):
+    refs = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "a", None), (4, None, 5), (5, "z", 5), (6, "b", 99)], "id long, x string, y int")
+    targets = spark.createDataFrame([("a", 2, 9), ("a", 2, 9), ("a", None, None), ("b", 3, None)], "x string, since int, until int")
+    keys = [("x", "x"), ("y", ("since", "until"))]
+    got = {r.id: (r.null_mask, r.least) for r in orphan_references(refs, targets, keys, "full", {"least": F.min("since")}).collect()}
+    assert got == {2: ("00", 2), 5: ("00", None), 3: ("01", None), 4: ("10", None)}
+    assert {r.id for r in orphan_references(refs, targets, keys).collect()} == {2, 5}
+    with pytest.raises(ValueError):
+        orphan_references(refs, targets, keys, "partial")
+
+
 def test_hot_keys_are_split(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     monkeypatch.setattr(skew.hot_keys, "__defaults__", (0.01, 10))

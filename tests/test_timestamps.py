@@ -1,10 +1,11 @@
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.operators.timestamps import normalize_times, to_epoch_us
+from quire.operators.timestamps import footer_changes, normalize_times, read_zone, to_epoch_us, zone_bytes, zone_version
 
 
 def one(v, zone="Europe/Berlin", order="dmy"):
@@ -21,6 +22,23 @@ def test_forms():
     assert to_epoch_us(["2024-07-01T00:00:00.1234569Z"], [None], [None])[0][0] % 10**6 == 123456
 
 
+def test_long_values_and_far_years():
+    assert one(" " * 400 + "2024-07-01T10:00:00Z" + "\n" * 300) == "2024-07-01T10:00:00"
+    assert to_epoch_us(["2024-07-01T00:00:00.123456" + "7" * 900 + "Z"], [None], [None])[0][0] % 10**6 == 123456
+    for year in (2150, 2499, 2500, 2777, 9998):
+        assert one(f"{year}-07-01 12:00") == f"{year}-07-01T10:00:00" and one(f"{year}-01-01 12:00") == f"{year}-01-01T11:00:00"
+    assert one("2150-03-29 02:30") is None and one("2550-10-25 02:30") is None  # skipped and repeated hours come by rule as well
+
+
+def test_footers():
+    for key in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Africa/Casablanca", "America/Santiago", "Asia/Gaza", "Pacific/Apia", "Antarctica/Troll"):
+        starts, offsets = read_zone(zone_bytes(key))
+        for sec in range(1_600_000_000, 4_500_000_000, 8_640_007):
+            want = datetime.fromtimestamp(sec, ZoneInfo(key)).utcoffset().total_seconds()
+            assert offsets[np.searchsorted(starts, sec, "right") - 1] == want, (key, sec)
+    assert footer_changes("IST-5:30", range(2020, 2030)) == [] and len(footer_changes("AAA3BBB,J60/1,J300", range(2020, 2022))) == 4
+
+
 def test_no_instants():
     for v in ("2024-03-31 02:30:00", "2024-10-27 02:30:00", "2024-02-30", "2023-13-45", "0000-00-00", "2024-01-01T25:00", "", "TBD", "n/a", None, "yesterday", "2024-05-0?", "2024-01-01 10:00 XYZ", "x" * 500, "13 PM"):
         assert one(v) is None, v
@@ -45,4 +63,5 @@ def test_local_times_like_zoneinfo(t, zone):
 def test_frame(spark):
     df = spark.createDataFrame([(1, "2024-01-01", "UTC", "dmy"), (1, None, "UTC", None), (2, "x", None, None)], "epoch_us long, v string, z string, o string").withColumnRenamed("epoch_us", "id")
     assert [tuple(r) for r in normalize_times(df, "v", "z", "o", ["id"]).collect()] == [(1, 1704067200000000)]
+    assert normalize_times(df, "v", "z", "o", ["id"], stamp="release").first().release == zone_version()
     assert normalize_times(df.limit(0), "v", "z", "o", ["id"]).count() == 0
