@@ -65,6 +65,30 @@ def resolve(target: Column, folder: Column) -> Column:
     return normalize(whole)
 
 
+def encode_path(path: Column) -> Column:
+    """A path as a link target: percent-encoded but for the characters that targets may hold."""
+    coded = F.url_encode(path)
+    for keep in "/~!$&'()*,;=:@":
+        coded = F.regexp_replace(coded, "%%%02X" % ord(keep), F.lit("\\$" if keep == "$" else keep))
+    return F.replace(F.regexp_replace(coded, r"\+", "%20"), F.lit("%2B"), F.lit("+"))
+
+
+def file_path(target: Column, rel: Column) -> Column:
+    """Path of the file or folder an internal reference written in `rel` names ('' the root); NULL for what is external, a bare anchor, or outside."""
+    return F.when(is_internal(target) & (without_fragment(target) != ""), resolve(target, folder_of(rel)))
+
+
+def leaves_bundle(target: Column, rel: Column) -> Column:
+    """Whether an internal reference points outside the bundle."""
+    return is_internal(target) & (without_fragment(target) != "") & resolve(target, folder_of(rel)).isNull()
+
+
+def ancestors(rel: Column) -> Column:
+    """All folders above a path, the root '' first."""
+    parts = F.split(rel, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def page_path(target: Column, rel: Column) -> Column:
     """Path of the page an internal reference written in `rel` names; NULL for anything that is no page reference."""
     page = percent_decode(without_fragment(target)).endswith(".md")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.paths import folder_of, name_of, page_path, stem_of
+from quire.functions.paths import ancestors, file_path, folder_of, name_of, page_path, stem_of
 from quire.sources import table
 
 #: Top-level folders of personal material, outside the scope `knowledge`.
@@ -24,15 +24,16 @@ def page_title(title: Column, rel: Column) -> Column:
     return F.when(F.coalesce(plain, F.lit("")) != "", plain).otherwise(own)
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that exist now: rel, folder, type, title, description, tags, aliases, status, resource, added_at, frontmatter.
+def pages(spark: SparkSession, d: str, frontmatter: bool = False) -> DataFrame:
+    """Pages that exist now: rel, folder, type, title, description, tags, aliases, status, resource, added_at, and on demand frontmatter.
 
-    Pages delivered twice count once; type is NULL if blank; description '' if missing; status `stable` if missing.
+    Pages delivered twice count once; type is NULL if blank; description '' if missing; status `stable` if missing. Repeated deliveries fall
+    together as equal rows of these columns, so filters on them reach the scan before that shuffle.
     """
-    own = table(spark, d, "bundle_page").where(F.col("deleted_at").isNull()).dropDuplicates(["page_id"])
-    own = own.select("rel", "type", "title", "description", "tags", "aliases", "status", "resource", "added_at", "frontmatter")
+    columns = ["rel", "type", "title", "description", "tags", "aliases", "status", "resource", "added_at", *(["frontmatter"] if frontmatter else [])]
+    own = table(spark, d, "bundle_page").where(F.col("deleted_at").isNull()).select("page_id", *columns).distinct().select(*columns)
     nothing = F.lit(None).cast("array<string>")
-    library = table(spark, d, "library_page").where(F.col("deleted_at").isNull()).select("rel", "type", "title", F.lit(None).cast("string").alias("description"), nothing.alias("tags"), nothing.alias("aliases"), F.lit(None).cast("string").alias("status"), "resource", "added_at", F.lit(None).cast("string").alias("frontmatter"))
+    library = table(spark, d, "library_page").where(F.col("deleted_at").isNull()).select("rel", "type", "title", F.lit(None).cast("string").alias("description"), nothing.alias("tags"), nothing.alias("aliases"), F.lit(None).cast("string").alias("status"), "resource", "added_at", *([F.lit(None).cast("string").alias("frontmatter")] if frontmatter else []))
     p = own.unionByName(library)
     kind = F.trim("type")
     return p.select(
@@ -45,8 +46,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
         "aliases",
         F.coalesce("status", F.lit("stable")).alias("status"),
         "resource",
-        "added_at",
-        "frontmatter",
+        *columns[8:],
     )
 
 
@@ -61,23 +61,32 @@ def in_scope(scope: str = "knowledge") -> Column:
     return ok & ~F.substring_index("rel", "/", 1).isin(*PERSONAL) if scope == "knowledge" else ok
 
 
-def links(spark: SparkSession, d: str) -> DataFrame:
-    """Body links to pages, once per link id: link_id, src, dst (bundle path), target (as written)."""
-    t = table(spark, d, "page_link").select("link_id", F.col("rel").alias("src"), page_path(F.col("target"), F.col("rel")).alias("dst"), "target")
-    return t.where(F.col("dst").isNotNull()).dropDuplicates(["link_id"])
+def linking(p: DataFrame) -> DataFrame:
+    """The pages whose links count: no generated indexes, no templates, nothing below a tooling folder: rel."""
+    return p.where((name_of(F.col("rel")) != "index.md") & ~is_tooling(F.col("folder")) & (F.coalesce("type", F.lit("")) != "Template")).select("rel").distinct()
+
+
+def links(spark: SparkSession, d: str, files: bool = False) -> DataFrame:
+    """Body links to pages, once per link id: link_id, src, dst (bundle path), target (as written). With files: links and images to any file or folder."""
+    dst = file_path if files else page_path
+    t = table(spark, d, "page_link").select("link_id", F.col("rel").alias("src"), dst(F.col("target"), F.col("rel")).alias("dst"), "target")
+    return t.where(F.col("dst").isNotNull()).distinct()
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations to pages, once per relation id: relation_id, src, key, dst."""
     t = table(spark, d, "page_relation").select("relation_id", F.col("rel").alias("src"), "key", page_path(F.col("target"), F.col("rel")).alias("dst"))
-    return t.where(F.col("dst").isNotNull()).dropDuplicates(["relation_id"])
+    return t.where(F.col("dst").isNotNull()).distinct()
+
+
+def existing(p: DataFrame) -> DataFrame:
+    """All paths that exist, files and folders, each once: dst."""
+    return p.select(F.explode(F.concat(ancestors(F.col("rel")), F.array("rel"))).alias("dst")).distinct()
 
 
 def folder_closure(rels: DataFrame) -> DataFrame:
     """All ancestor folders of the paths in column rel, the root as ''."""
-    parts = F.split("rel", "/")
-    up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return rels.select(F.explode(up).alias("folder")).distinct()
+    return rels.select(F.explode(ancestors(F.col("rel"))).alias("folder")).distinct()
 
 
 def edges(spark: SparkSession, d: str, scope: str = "knowledge") -> tuple[DataFrame, DataFrame, DataFrame]:

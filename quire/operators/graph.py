@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.paths import stem_of
+from quire.functions.strings import tokens
 from quire.operators.catalog import SYNTHESES
 from quire.session import checkpoint
 
 
+def page_names(p: DataFrame) -> DataFrame:
+    """The names of each page as tokens: rel, tokens. Names are title, aliases and the file's stem; names without a token are left out, equal ones of a page fall together."""
+    stem = F.replace(stem_of(F.col("rel")), F.lit("-"), F.lit(" "))
+    names = F.array_compact(F.concat(F.array("title", stem), F.coalesce("aliases", F.array().cast("array<string>"))))
+    named = p.select("rel", F.explode(names).alias("name")).distinct()
+    return named.select("rel", tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0).distinct()
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rel, n_in, n_out over distinct edges; nodes without edges have 0."""
     both = edges.select(F.col("dst").alias("rel"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(edges.select(F.col("src").alias("rel"), F.lit(0).alias("i"), F.lit(1).alias("o")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.paths import name_of
-from quire.operators.catalog import in_scope, is_tooling
+from quire.operators.catalog import existing, in_scope, linking
 from quire.operators.nested import Triple, group_of, record_triples
 
 #: Types whose pages need no sources.
@@ -61,9 +61,9 @@ def page_facts(p: DataFrame, now: datetime) -> DataFrame:
 
 
 def health_report(p: DataFrame, body_links: DataFrame, now: datetime | None = None) -> DataFrame:
-    """The whole report as rows (section, item, n), each once, no list cut: type, trust, status, stale, uncited, unused, broken, draft.
+    """The whole health report as rows (section, item, n), each once, no list cut: type, trust, status, stale, uncited, unused, broken, draft.
 
-    p and body_links are as pages() and links() give them; now is the time of the report, the present by default. Items of stale,
+    p is as pages() gives it, with frontmatter; body_links as links() with files; now is the time of the report, the present by default. Items of stale,
     uncited, unused and draft are paths, those of broken `source -> target`; n counts pages, of broken links.
     """
     own = p.where(in_scope("all")).select("rel", "type", "status", "frontmatter", in_scope().alias("knowledge"))
@@ -77,10 +77,30 @@ def health_report(p: DataFrame, body_links: DataFrame, now: datetime | None = No
     }
     rows = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(s).alias("section"), F.col(item).alias("item"))) for s, (when, item) in sections.items()]))
     pages_rows = page_facts(own, now or datetime.now(UTC)).select(F.explode(rows).alias("r")).select("r.section", "r.item")
-
-    linking = p.where((name_of(F.col("rel")) != "index.md") & ~is_tooling(F.col("folder")) & (F.coalesce("type", F.lit("")) != "Template")).select(F.col("rel").alias("src")).distinct()
-    alive = body_links.join(linking, "src", "left_semi")
-    broken = alive.join(p.select(F.col("rel").alias("dst")), "dst", "left_anti").select(F.lit("broken").alias("section"), F.concat("src", F.lit(" -> "), "target").alias("item"))
-    used = alive.where((F.col("src") != F.col("dst")) & (name_of(F.col("src")) != "log.md")).select(F.col("dst").alias("rel")).distinct()
-    unused = p.where(in_scope() & (F.col("type") == "Source")).select("rel").join(used, "rel", "left_anti").select(F.lit("unused").alias("section"), F.col("rel").alias("item"))
+    broken = broken_links(p, body_links).select(F.lit("broken").alias("section"), F.concat("src", F.lit(" -> "), "target").alias("item"))
+    unused = unused_sources(p, body_links).select(F.lit("unused").alias("section"), F.col("rel").alias("item"))
     return pages_rows.unionByName(broken).unionByName(unused).groupBy("section", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counting_links(p: DataFrame, body_links: DataFrame) -> DataFrame:
+    """The links that count as citations: to an existing page other than their own, from a page whose links count and that is no log."""
+    from_page = body_links.where((F.col("src") != F.col("dst")) & (name_of(F.col("src")) != "log.md"))
+    return from_page.join(linking(p).withColumnRenamed("rel", "src"), "src", "left_semi")
+
+
+def inbound_links(p: DataFrame, body_links: DataFrame) -> DataFrame:
+    """rel, n_inbound for every page in scope: each link counts, also a repeated one."""
+    n = counting_links(p, body_links).groupBy(F.col("dst").alias("rel")).agg(F.count(F.lit(1)).alias("n"))
+    return p.where(in_scope("all")).select("rel").distinct().join(n, "rel", "left").select("rel", F.coalesce("n", F.lit(0)).alias("n_inbound"))
+
+
+def unused_sources(p: DataFrame, body_links: DataFrame) -> DataFrame:
+    """Source pages that no counting link reaches: rel."""
+    own = p.where(in_scope() & (F.col("type") == "Source")).select("rel").distinct()
+    return own.join(counting_links(p, body_links).select(F.col("dst").alias("rel")), "rel", "left_anti")
+
+
+def broken_links(p: DataFrame, body_links: DataFrame) -> DataFrame:
+    """Links of pages whose links count, to files and folders that don't exist: the columns of body_links."""
+    alive = body_links.join(linking(p).withColumnRenamed("rel", "src"), "src", "left_semi")
+    return alive.join(existing(p), "dst", "left_anti")

@@ -2,134 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.paths import folder_of, fragment_of, is_internal, name_of, page_path, percent_decode, stem_of, without_fragment
-from quire.functions.strings import acronym, glob_regex, is_kebab, jaccard, slug, tokens
+from datetime import UTC, datetime
+
+from quire.functions.paths import ancestors, file_path, folder_of, fragment_of, encode_path, is_internal, name_of, page_path, percent_decode, stem_of, without_fragment
+from quire.functions.strings import acronym, casefold, fold, is_kebab, jaccard, slug, spell_symbols, tokens
 from quire.operators import graph as G
-from quire.operators.blocks import class_pairs, name_classes
-from quire.operators.catalog import SYNTHESES, edges, folder_closure, in_scope, is_tooling, links, pages, relations
-from quire.operators.report import health_report
-from quire.plans.skew import lookup
+from quire.operators.catalog import SYNTHESES, edges, existing, folder_closure, in_scope, is_tooling, links, pages, relations
+from quire.operators.find import find_pages, has_tags, in_folder, view
+from quire.operators.nested import nested_rows
+from quire.operators.report import broken_links, health_report, inbound_links, page_facts, unused_sources
+from quire.queries.registry import EDGES_SQL, FILES_SQL, FOLDER_SQL, GRAPH_SQL, LINKS_SQL, P_SQL, PAGE_SQL, query, sql_file, sql_path
 from quire.sources import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+#: The moment at which reports are made.
+AS_OF = datetime(2026, 1, 1, tzinfo=UTC)
 
+# --- scans, filters --------------------------------------------------------------------------------------------------
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
 
-    return add
+@query(P_SQL + "select folder from (select unnest(list_transform(range(0, len(string_split(rel, '/'))), lambda n: array_to_string(string_split(rel, '/')[1:n], '/'))) as folder from page) group by 1")
+def src_03_dirs(spark, d):
+    return folder_closure(pages(spark, d))
 
 
-# --- SQL building blocks ---------------------------------------------------------------------------------------------
+_FM_SQL = """
+fm as (select distinct rel, frontmatter::json as j from bundle_page where deleted_at is null and case when json_valid(frontmatter) then json_type(frontmatter::json) = 'OBJECT' else false end),
+ver0 as (select rel, j->'verified' as v from fm),
+ver as (select rel, case when json_type(v) = 'VARCHAR' and json_valid(v->>'$') then (v->>'$')::json else v end as v from ver0),
+given as (select rel, v, v is not null and json_type(v) not in ('NULL') and v::varchar not in ('[]', '{}', '""', 'false', '0') as given,
+  case json_type(v) when 'OBJECT' then [v->>'by'] when 'ARRAY' then (v->>'$[*].by') else [] end as bys from ver),
+tier as (select rel, case when not given then 'unverified' when len(list_filter(bys, lambda b: starts_with(b, 'human:'))) > 0 then 'human-reviewed' else 'machine-confirmed' end as tier from given),
+trust as (select rel, type, coalesce(tier, 'unverified') as tier from (select distinct rel, type from scoped) left join tier using (rel))
+"""
 
-_FOLDER = "case when contains({r}, '/') then regexp_replace({r}, '/[^/]*$', '') else '' end"
 
+@query(P_SQL + "select rel, type, title, status from page where type = 'Concept' and list_has_all(coalesce(tags, []), ['network']) and status = 'stable' and starts_with(rel, 'systems/')")
+def flt_01_find(spark, d):
+    """Conjunction of filters: type, all of the tags, status with its default, folder."""
+    return find_pages(pages(spark, d), "Concept", ["network"], "stable", "systems").select("rel", "type", "title", "status")
 
-def sql_path(target: str, rel: str) -> str:
-    """The bundle path of an internal page reference, or null."""
-    p = f"url_decode(split_part({target}, '#', 1))"
-    folder = _FOLDER.format(r=rel)
-    whole = f"case when starts_with({p}, '/') then substr({p}, 2) when {folder} = '' then {p} else {folder} || '/' || {p} end"
-    n = f"regexp_replace(regexp_replace(regexp_replace({whole}, '/(\\./)+', '/', 'g'), '^(\\./)+', ''), '/+', '/', 'g')"
-    for _ in range(8):
-        n = f"regexp_replace({n}, '(^|/)([^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\./', '\\1')"
-    inside = f"not regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') and not starts_with({target}, '//') and not starts_with({target}, '#') and ends_with({p}, '.md')"
-    return f"case when {inside} and not regexp_matches({n}, '^\\.\\.(/|$)') then {n} end"
 
+@query(P_SQL + f", {_FM_SQL} select distinct rel, p.type, title, status from page p join trust t using (rel) where p.type = 'Concept' and status = 'stable' and starts_with(rel, 'systems/') and tier = 'machine-confirmed' and regexp_extract(rel, '([^/]*)$', 1) not in ('index.md', 'log.md')")
+def flt_01_find_trust(spark, d):
+    """Filters on columns, and on the trust tier of what passes them."""
+    found = find_pages(pages(spark, d, frontmatter=True), "Concept", (), "stable", "systems", "machine-confirmed")
+    return found.where(in_scope("all")).select("rel", "type", "title", "status").distinct()
 
-_PAGE = f"""
-page0 as (select distinct page_id, rel, type, title, description, tags, aliases, status, resource, added_at from bundle_page where deleted_at is null
-  union all select null, rel, type, title, null, null, null, null, resource, added_at from library_page where deleted_at is null),
-page as (select rel, {_FOLDER.format(r="rel")} as folder, nullif(trim(type), '') as type, title,
-  coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') as description, tags, aliases, coalesce(status, 'stable') as status, resource, added_at from page0),
-scoped as (select * from page where type is not null and type <> 'Template' and regexp_extract(rel, '([^/]*)$', 1) not in ('index.md', 'log.md')
-  and not regexp_matches('/' || folder, '/[_.]')),
-known as (select distinct rel, type from scoped where split_part(rel, '/', 1) <> 'journal')
-"""
-_LINKS = f"""
-link as (select * from (select distinct link_id, rel as src, {sql_path("target", "rel")} as dst from page_link) where dst is not null),
-relation as (select * from (select distinct relation_id, rel as src, key, {sql_path("target", "rel")} as dst from page_relation) where dst is not null)
-"""
-_EDGES = """
-ref as (select src, dst from link union select src, dst from relation),
-typed as (select r.src, r.dst, d.type as dst_type from ref r join known s on s.rel = r.src and s.type <> 'Source' join known d on d.rel = r.dst where r.src <> r.dst),
-edge as (select src, dst from typed where dst_type <> 'Source'),
-node as (select * from known where type <> 'Source')
-"""
-_GRAPH = f"with {_PAGE}, {_LINKS}, {_EDGES} "
-_P = f"with {_PAGE} "
 
-# --- scans, filters --------------------------------------------------------------------------------------------------
+@query(P_SQL + "select rel, list_sort(tags) as tags from page where list_has_all(coalesce(tags, []), ['survey', 'network'])")
+def flt_02_tags_all(spark, d):
+    return pages(spark, d).where(has_tags(["survey", "network"])).select("rel", F.array_sort("tags").alias("tags"))
 
 
-@query(_P + "select folder from (select unnest(list_transform(range(0, len(string_split(rel, '/'))), lambda n: array_to_string(string_split(rel, '/')[1:n], '/'))) as folder from page) group by 1")
-def src_03_dirs(spark, d):
-    return folder_closure(pages(spark, d))
+@query(P_SQL + f", {_FM_SQL} select rel, tier from trust")
+def flt_05_trust(spark, d):
+    """The trust tier of each page."""
+    return page_facts(pages(spark, d, frontmatter=True).where(in_scope("all")), AS_OF).select("rel", "tier").distinct()
 
 
-@query(_P + "select rel, type, title, status from page where type = 'Concept' and list_has_all(coalesce(tags, []), ['network']) and status = 'stable' and starts_with(rel, 'systems/')")
-def flt_01_find(spark, d):
-    """Conjunction of the optional filters: type, all of the tags, status with its default, folder prefix."""
-    p = pages(spark, d)
-    wanted = F.array(F.lit("network"))
-    return p.where((F.col("type") == "Concept") & (F.size(F.array_except(wanted, F.coalesce("tags", F.array().cast("array<string>")))) == 0) & (F.col("status") == "stable") & F.col("rel").startswith("systems/")).select("rel", "type", "title", "status")
+_STALE_SQL = r"""stale0 as (select rel, replace(regexp_replace(j->>'stale_after', '^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})', '\1-\2-\3T\4:\5:\6'), ',', '.') as due from fm where json_type(j->'stale_after') = 'VARCHAR'),
+stale as (select * from stale0 where regexp_matches(due, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})$'))"""
 
 
-@query(_P + "select rel, list_sort(tags) as tags from page where list_has_all(coalesce(tags, []), ['survey', 'network'])")
-def flt_02_tags_all(spark, d):
-    wanted = F.array(F.lit("survey"), F.lit("network"))
-    return pages(spark, d).where(F.size(F.array_except(wanted, "tags")) == 0).select("rel", F.array_sort("tags").alias("tags"))
+@query(P_SQL + f", {_FM_SQL}, {_STALE_SQL} select distinct rel from scoped join stale using (rel) where try_cast(due as timestamptz) <= timestamptz '2026-01-01 00:00:00+00'")
+def flt_06_stale(spark, d):
+    """Pages whose stale_after, a time with an offset, is over."""
+    return page_facts(pages(spark, d, frontmatter=True).where(in_scope("all")), AS_OF).where("stale").select("rel").distinct()
 
 
-@query(_P + "select rel from page where status = 'stable'")
+@query(P_SQL + "select rel, type, title, status from page where type is not null and regexp_extract(rel, '([^/]*)$', 1) not in ('index.md', 'log.md') and not starts_with(rel, '_templates/') and not starts_with(rel, 'journal/') and not starts_with(rel, 'projects/') order by added_at desc, rel limit 50")
+def flt_13_recent_view(spark, d):
+    """The declared view of the pages changed last."""
+    outside = ~(in_folder("_templates") | in_folder("journal") | in_folder("projects"))
+    where = F.col("type").isNotNull() & ~name_of(F.col("rel")).isin("index.md", "log.md") & outside
+    return view(pages(spark, d), where, [F.desc("added_at"), F.asc("rel")], 50).select("rel", "type", "title", "status")
+
+
+@query(P_SQL + f", {_FM_SQL} select rel, title, type, status, folder from page left join given using (rel) where type is not null and type <> 'Template' and regexp_extract(rel, '([^/]*)$', 1) not in ('index.md', 'log.md') and not starts_with(rel, 'journal/') and not coalesce(given, false)")
+def flt_13_review_view(spark, d):
+    """The declared view of the pages nobody has verified."""
+    where = F.col("type").isNotNull() & (F.col("type") != "Template") & ~name_of(F.col("rel")).isin("index.md", "log.md") & ~in_folder("journal")
+    return page_facts(view(pages(spark, d, frontmatter=True), where), AS_OF).where("tier = 'unverified'").select("rel", "title", "type", "status", "folder")
+
+
+@query(P_SQL + "select rel from page where status = 'stable'")
 def flt_03_status_default(spark, d):
     return pages(spark, d).where(F.col("status") == "stable").select("rel")
 
 
-@query(_P + "select rel, folder from page where starts_with(rel, 'data/')")
+@query(P_SQL + "select rel, folder from page where starts_with(rel, 'data/')")
 def flt_04_folder_prefix(spark, d):
     return pages(spark, d).where(F.col("rel").startswith("data/")).select("rel", "folder")
 
 
-@query(_P + "select rel, type from known")
+@query(P_SQL + "select rel, type from known")
 def flt_07_scope(spark, d):
     return pages(spark, d).where(in_scope()).select("rel", "type").distinct()
 
 
-@query(_P + "select rel, regexp_matches('/' || folder, '/[_.]') as tooling from page")
+@query(P_SQL + "select rel, regexp_matches('/' || folder, '/[_.]') as tooling from page")
 def flt_08_tooling(spark, d):
     return pages(spark, d).select("rel", is_tooling(F.col("folder")).alias("tooling"))
 
 
-@query(f"with {_PAGE}, {_LINKS} select link_id, dst from link where dst in (select rel from page)")
-def flt_09_exists(spark, d):
-    return links(spark, d).join(pages(spark, d).select(F.col("rel").alias("dst")), "dst", "left_semi").select("link_id", "dst")
-
-
-RULES = (("drop", "**/draft-*"), ("journal", "*/2024*/**"), ("archive", "**/*archive*"), ("notes", "**/*.md"))
-
-
-def _sql_rules() -> str:
-    return "case " + " ".join(f"when regexp_matches(src, '{glob_regex(g)}') then '{n}'" for n, g in RULES) + " end"
-
-
-@query(f"select distinct note_id, {_sql_rules()} as rule from source_note")
-def flt_11_rule_globs(spark, d):
-    """The first rule whose glob matches the source path (also JOIN-13 and IMP-01's assignment)."""
-    rule = F.coalesce(*[F.when(F.col("src").rlike(glob_regex(g)), F.lit(n)) for n, g in RULES])
-    return table(spark, d, "source_note").select("note_id", rule.alias("rule")).distinct()
-
-
 @query("select distinct rel, regexp_matches(regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', ''), '^[a-z0-9]+(-[a-z0-9]+)*$') as kebab from bundle_page")
 def flt_12_kebab(spark, d):
     return table(spark, d, "bundle_page").select("rel", is_kebab(stem_of(F.col("rel"))).alias("kebab")).distinct()
@@ -138,44 +116,28 @@ def flt_12_kebab(spark, d):
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"with {_PAGE}, {_LINKS} select l.link_id, l.src, l.dst, k.type as dst_type from link l join (select distinct rel, type from page) k on k.rel = l.dst")
+@query(f"with {PAGE_SQL}, {LINKS_SQL} select l.link_id, l.src, l.dst, k.type as dst_type from link l join (select distinct rel, type from page) k on k.rel = l.dst")
 def join_01_resolve(spark, d):
     k = pages(spark, d).select(F.col("rel").alias("dst"), F.col("type").alias("dst_type")).distinct()
     return links(spark, d).join(k, "dst").select("link_id", "src", "dst", "dst_type")
 
 
-@query(f"with {_PAGE}, {_LINKS} select link_id, src, dst from link where dst not in (select rel from page)")
-def join_02_broken_links(spark, d):
-    return links(spark, d).join(pages(spark, d).select(F.col("rel").alias("dst")), "dst", "left_anti").select("link_id", "src", "dst")
-
-
-@query(_GRAPH + f"select rel from node where rel not in (select dst from edge) and type not in {SYNTHESES}")
+@query(GRAPH_SQL + f"select rel from node where rel not in (select dst from edge) and type not in {SYNTHESES}")
 def join_03_orphans(spark, d):
     nodes, e, _ = edges(spark, d)
     return G.orphans(G.degrees(nodes, e))
 
 
-@query(_GRAPH + "select rel from node where rel not in (select src from edge)")
+@query(GRAPH_SQL + "select rel from node where rel not in (select src from edge)")
 def join_03_dead_ends(spark, d):
     nodes, e, _ = edges(spark, d)
     return nodes.join(e.select(F.col("src").alias("rel")), "rel", "left_anti").select("rel")
 
 
-@query(f"with {_PAGE}, {_LINKS} select rel from known where type = 'Source' and rel not in (select dst from link where src <> dst)")
-def join_04_unused_sources(spark, d):
-    src = pages(spark, d).where(in_scope() & (F.col("type") == "Source")).select("rel").distinct()
-    return src.join(links(spark, d).where(F.col("src") != F.col("dst")).select(F.col("dst").alias("rel")), "rel", "left_anti")
-
-
-@query(f"with {_LINKS} select relation_id, src, key, dst from relation r where not exists (select 1 from link l where l.src = r.src and l.dst = r.dst)")
-def join_05_relation_not_linked(spark, d):
-    return relations(spark, d).join(links(spark, d).select("src", "dst"), ["src", "dst"], "left_anti").select("relation_id", "src", "key", "dst")
-
-
 SORTS = (("journal", "date-desc"), ("systems", "title"), ("systems/network", "name"))
 
 
-@query(_P + ", sorts(f, s) as (values " + ", ".join(f"('{f}', '{s}')" for f, s in SORTS) + ") select folder, (select s from sorts where folder = f or starts_with(folder, f || '/') order by length(f) desc limit 1) as sort from (select distinct folder from page)")
+@query(P_SQL + ", sorts(f, s) as (values " + ", ".join(f"('{f}', '{s}')" for f, s in SORTS) + ") select folder, (select s from sorts where folder = f or starts_with(folder, f || '/') order by length(f) desc limit 1) as sort from (select distinct folder from page)")
 def join_11_inherited_sort(spark, d):
     """Each folder's sort order, from itself or its nearest ancestor that has one."""
     own = pages(spark, d).select("folder").distinct()
@@ -186,19 +148,6 @@ def join_11_inherited_sort(spark, d):
     return own.join(got, "folder", "left")
 
 
-@query(
-    _P
-    + """, w as (select distinct regexp_replace(regexp_extract(target, '([^/#]*)(#.*)?$', 1), '\\.md$', '') as name from page_link where ends_with(split_part(target, '#', 1), '.md')),
-  f as (select rel, regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', '') as stem, len(string_split(rel, '/')) as depth from page)
-  select name, first(rel order by depth, rel) as rel from w join f on f.stem = w.name group by name"""
-)
-def join_12_best_match(spark, d):
-    """A bare page name stands for the file of that stem in the fewest folders, then the smallest path."""
-    names = table(spark, d, "page_link").where(without_fragment(F.col("target")).endswith(".md")).select(F.regexp_replace(F.regexp_extract("target", r"([^/#]*)(#.*)?$", 1), r"\.md$", "").alias("name")).distinct()
-    files = pages(spark, d).select("rel", stem_of(F.col("rel")).alias("name"), F.size(F.split("rel", "/")).alias("depth"))
-    return names.join(files, "name").groupBy("name").agg(F.min(F.struct("depth", "rel")).alias("m")).select("name", "m.rel")
-
-
 _SNAP = "select rel, max(md5(coalesce(frontmatter, ''))) as digest from bundle_page where added_at <= timestamp '{t}' and (deleted_at is null or deleted_at > timestamp '{t}') group by rel"
 T0, T1 = "2024-01-01 00:00:00", "2025-01-01 00:00:00"
 
@@ -219,142 +168,60 @@ def join_14_snapshot_diff(spark, d):
     return snapshot_changes(_snapshot(spark, d, T0), _snapshot(spark, d, T1))
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
-def join_16_not_in(spark, d):
-    gone = table(spark, d, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(gone, "c_custkey", "left_anti").select("c_custkey", "c_name")
-
-
-@query("select distinct note_id, coalesce(nullif(trim(h1), ''), nullif(trim(props['title']), ''), regexp_replace(regexp_extract(src, '([^/]*)$', 1), '\\.[^.]*$', '')) as title from source_note")
-def join_17_title_precedence(spark, d):
-    full = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return table(spark, d, "source_note").select("note_id", F.coalesce(full(F.col("h1")), full(F.element_at("props", F.lit("title"))), stem_of(F.col("src"))).alias("title")).distinct()
-
-
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 
-@query(_P + "select type, count(*) as n_pages, min(rel) as first_rel from scoped group by type")
+@query(P_SQL + "select type, count(*) as n_pages, min(rel) as first_rel from scoped group by type")
 def agg_01_pages_by_type(spark, d):
     return pages(spark, d).where(in_scope("all")).groupBy("type").agg(F.count(F.lit(1)).alias("n_pages"), F.min("rel").alias("first_rel"))
 
 
-@query(_P + "select status, count(*) as n_pages from scoped group by status")
+@query(P_SQL + "select status, count(*) as n_pages from scoped group by status")
 def agg_03_status_counts(spark, d):
     return pages(spark, d).where(in_scope("all")).groupBy("status").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-@query(f"with {_PAGE}, {_LINKS} select rel, (select count(*) from link l where l.dst = s.rel and l.src <> l.dst) as n_inbound from (select distinct rel from scoped) s")
-def agg_04_inbound_links(spark, d):
-    """Every body link counts, also repeated ones; links of a page to itself don't."""
-    n = links(spark, d).where(F.col("src") != F.col("dst")).groupBy(F.col("dst").alias("rel")).agg(F.count(F.lit(1)).alias("n"))
-    return pages(spark, d).where(in_scope("all")).select("rel").distinct().join(n, "rel", "left").select("rel", F.coalesce("n", F.lit(0)).alias("n_inbound"))
-
-
-@query(_GRAPH + "select rel, type, (select count(*) from edge where dst = rel) as n_in, (select count(*) from edge where src = rel) as n_out from node")
+@query(GRAPH_SQL + "select rel, type, (select count(*) from edge where dst = rel) as n_in, (select count(*) from edge where src = rel) as n_out from node")
 def agg_05_degrees(spark, d):
     nodes, e, _ = edges(spark, d)
     return G.degrees(nodes, e)
 
 
-@query(f"with {_LINKS} select key, count(*) as n_relations from relation group by key")
-def agg_06_relations_by_key(spark, d):
-    return relations(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n_relations"))
-
-
-@query(_GRAPH + "select dst as rel, count(distinct src) as n_citing from typed where dst_type = 'Source' group by dst")
+@query(GRAPH_SQL + "select dst as rel, count(distinct src) as n_citing from typed where dst_type = 'Source' group by dst")
 def agg_07_cited_by(spark, d):
     _, _, cites = edges(spark, d)
     return cites.groupBy(F.col("dst").alias("rel")).agg(F.count_distinct("src").alias("n_citing"))
 
 
-@query(_GRAPH + ", sets as (select src from edge group by src having count(*) <= 60), few as (select e.* from edge e join sets using (src)) select x.dst as a, y.dst as b, count(*) as n from few x join few y on x.src = y.src and x.dst < y.dst group by 1, 2 having count(*) >= 3")
+@query(GRAPH_SQL + ", sets as (select src from edge group by src having count(*) <= 60), few as (select e.* from edge e join sets using (src)) select x.dst as a, y.dst as b, count(*) as n from few x join few y on x.src = y.src and x.dst < y.dst group by 1, 2 having count(*) >= 3")
 def agg_10_colinks(spark, d):
     _, e, _ = edges(spark, d)
     return G.colinks(e)
 
 
-@query("with n as (select distinct c_name, c_custkey, c_mktsegment, c_nationkey from customer) select c_mktsegment, c_nationkey, count(*) as n_owners, min(c_name) as first_owner from n group by all having count(*) > 1")
-def agg_12_ambiguous_names(spark, d):
-    """Names with several owners."""
-    c = table(spark, d, "customer")
-    return c.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n_owners"), F.min("c_name").alias("first_owner")).where(F.col("n_owners") > 1)
-
-
-@query("select lower(rel) as dest, count(distinct rel) as n from bundle_page group by 1 having count(distinct rel) > 1 union all select lower(regexp_replace(src, '^[^/]*/', '')), count(distinct src) from source_note group by 1 having count(distinct src) > 1")
-def agg_13_collisions(spark, d):
-    a = table(spark, d, "bundle_page").groupBy(F.lower("rel").alias("dest")).agg(F.count_distinct("rel").alias("n"))
-    b = table(spark, d, "source_note").groupBy(F.lower(F.regexp_replace("src", "^[^/]*/", "")).alias("dest")).agg(F.count_distinct("src").alias("n"))
-    return a.unionByName(b).where(F.col("n") > 1)
-
-
 @query("select rel, max(ingested_at) as last_at, arg_max(page_id, (ingested_at, page_id)) as page_id from bundle_page group by rel")
 def agg_14_last_delivery(spark, d):
     return table(spark, d, "bundle_page").groupBy("rel").agg(F.max("ingested_at").alias("last_at"), F.max(F.struct("ingested_at", "page_id")).alias("m")).select("rel", "last_at", "m.page_id")
 
 
-@query(_P + "select folder, string_agg('* ' || title || ' (' || rel || ')', chr(10) order by lower(title), rel) as body from (select folder, rel, coalesce(title, rel) as title from scoped) group by folder")
-def agg_15_index_sections(spark, d):
-    """The entries of each folder's index in order (IDX-02): one folder's listing is one value, as in the index file it makes."""
-    p = pages(spark, d).where(in_scope("all"))
-    item = F.struct(F.lower("title").alias("k"), F.col("rel"), F.concat(F.lit("* "), F.col("title"), F.lit(" ("), F.col("rel"), F.lit(")")).alias("line"))
-    return p.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("body"))
-
-
 # --- windows, top, sets ----------------------------------------------------------------------------------------------
 
 
-@query("select event_id from (select event_id, ts, lag(ts) over (partition by user_id order by event_id) as before from events) where before is not null and ts <= before")
-def win_01_not_ascending(spark, d):
-    """Entries of a log that break its order."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, d, "events").withColumn("before", F.lag("ts").over(w)).where(F.col("ts") <= F.col("before")).select("event_id")
-
-
-@query(_P + "select type, rel from (select type, rel, row_number() over (partition by type order by added_at, rel) as n from scoped) where n <= 200")
+@query(P_SQL + "select type, rel from (select type, rel, row_number() over (partition by type order by added_at, rel) as n from scoped) where n <= 200")
 def top_08_sections_cut(spark, d):
     """A report lists at most 200 items of a section."""
     w = Window.partitionBy("type").orderBy("added_at", "rel")
     return pages(spark, d).where(in_scope("all")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= 200).select("type", "rel")
 
 
-@query(f"with {_LINKS} select src, dst from link union select src, dst from relation")
+@query(f"with {LINKS_SQL} select src, dst from link union select src, dst from relation")
 def set_02_reference_union(spark, d):
     return links(spark, d).select("src", "dst").unionByName(relations(spark, d).select("src", "dst")).distinct()
 
 
-_PAIRS = "(select distinct ltrim_a.a, ltrim_a.b from (select regexp_replace(a, '^/', '') as a, regexp_replace(b, '^/', '') as b from dup_candidate) ltrim_a where a < b)"
-
-
-@query(_P + f", pg as (select rel, any_value(tags) as tags from (select distinct rel, tags from page) group by rel having count(*) = 1) select c.a, c.b, list_sort(list_intersect(x.tags, y.tags)) as shared, round(case when len(x.tags) > 0 and len(y.tags) > 0 then len(list_intersect(x.tags, y.tags))::double / len(list_distinct(list_concat(x.tags, y.tags))) else 0 end, 6) as overlap from {_PAIRS} c join pg x on x.rel = c.a join pg y on y.rel = c.b where x.tags is not null and y.tags is not null")
-def set_06_tag_overlap(spark, d):
-    """Shared tags and Jaccard overlap of candidate pairs (SET-04, SET-06)."""
-    path = lambda c: F.regexp_replace(c, "^/", "").alias(c)
-    pairs = table(spark, d, "dup_candidate").select(path("a"), path("b")).where(F.col("a") < F.col("b")).distinct()
-    own = pages(spark, d).select("rel", "tags").distinct().groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.max("tags").alias("tags")).where((F.col("n") == 1) & F.col("tags").isNotNull())
-    both = pairs.join(own.select(F.col("rel").alias("a"), F.col("tags").alias("x")), "a").join(own.select(F.col("rel").alias("b"), F.col("tags").alias("y")), "b")
-    return both.select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared"), F.round(jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
-
-
 # --- strings ---------------------------------------------------------------------------------------------------------
 
 
-@query("select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
-def str_03_slug(spark, d):
-    return table(spark, d, "part").select("p_partkey", slug(F.col("p_name")).alias("slug"))
-
-
-_STOP = "('a','an','and','at','by','for','from','in','into','of','on','or','the','to','vs','with','without')"
-_TOKENS = f"[case when length(t) > 3 and ends_with(t, 's') and not ends_with(t, 'ss') then left(t, length(t) - 1) else t end for t in regexp_split_to_array(lower({{c}}), '[^a-z0-9]+') if t <> '' and t not in {_STOP}]"
-
-
-@query(f"select p_partkey, {_TOKENS.format(c='p_name')} as tokens, array_to_string([left(t, 1) for t in {_TOKENS.format(c='p_name')}], '') as acronym from part")
-def str_04_tokens(spark, d):
-    """Tokens and acronym of a name (STR-04, STR-05)."""
-    t = tokens(F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", t.alias("tokens"), acronym(t).alias("acronym"))
-
-
 @query(f"select distinct link_id, {sql_path('target', 'rel')} as path from page_link")
 def str_07_resolve(spark, d):
     return table(spark, d, "page_link").select("link_id", page_path(F.col("target"), F.col("rel")).alias("path")).distinct()
@@ -366,14 +233,7 @@ def str_09_fragment(spark, d):
     return table(spark, d, "page_link").select("link_id", percent_decode(without_fragment(F.col("target"))).alias("path"), fragment_of(F.col("target")).alias("fragment")).distinct()
 
 
-@query("select distinct note_id, 'notes/' || strftime(imported_day, '%Y/%m') || '/' || stem || '.md' as dest from (select note_id, regexp_replace(regexp_extract(src, '([^/]*)$', 1), '\\.[^.]*$', '') as stem, min(imported_at) over (partition by note_id) as imported_day from source_note)")
-def str_14_template(spark, d):
-    """A destination rendered from the template notes/{yyyy}/{mm}/{stem}.md."""
-    n = table(spark, d, "source_note").groupBy("note_id").agg(F.min("imported_at").alias("t"), F.min("src").alias("src"))
-    return n.select("note_id", F.concat(F.lit("notes/"), F.date_format("t", "yyyy/MM"), F.lit("/"), stem_of(F.col("src")), F.lit(".md")).alias("dest"))
-
-
-@query(_P + "select rel, replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '[', '\\['), ']', '\\]') as entry from (select distinct rel, title from page where title is not null)")
+@query(P_SQL + "select rel, replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '[', '\\['), ']', '\\]') as entry from (select distinct rel, title from page where title is not null)")
 def str_20_escape(spark, d):
     t = pages(spark, d).select("rel", "title").distinct()
     e = F.replace(F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]"))
@@ -383,32 +243,25 @@ def str_20_escape(spark, d):
 # --- graph -----------------------------------------------------------------------------------------------------------
 
 
-@query(_GRAPH + "select src, dst from edge")
+@query(GRAPH_SQL + "select src, dst from edge")
 def grf_01_edges(spark, d):
     return edges(spark, d)[1]
 
 
-@query()
-def grf_02_pagerank(spark, d):
-    """Top pages by PageRank (TOP-01): the score decides unrounded, then the path."""
-    nodes, e, _ = edges(spark, d)
-    return G.pagerank(nodes, e).orderBy(F.desc("score"), "rel").limit(15).select("rel", F.round("score", 8).alias("score"))
-
-
-@query(_GRAPH + ", tag as (select rel, unnest(tags) as tag from scoped where rel in (select rel from node)), size as (select tag, count(*) as n_pages from tag group by tag), pair as (select distinct least(src, dst) as a, greatest(src, dst) as b from edge), l as (select x.tag, count(*) as linked from pair join tag x on x.rel = a join tag y on y.rel = b and y.tag = x.tag group by 1), r as (select tag, n_pages, coalesce(linked, 0) / (n_pages * (n_pages - 1) / 2) as density from size left join l using (tag) where n_pages >= 5) select tag, n_pages, round(density, 3) as density from r where density < 0.15")
+@query(GRAPH_SQL + ", tag as (select rel, unnest(tags) as tag from scoped where rel in (select rel from node)), size as (select tag, count(*) as n_pages from tag group by tag), pair as (select distinct least(src, dst) as a, greatest(src, dst) as b from edge), l as (select x.tag, count(*) as linked from pair join tag x on x.rel = a join tag y on y.rel = b and y.tag = x.tag group by 1), r as (select tag, n_pages, coalesce(linked, 0) / (n_pages * (n_pages - 1) / 2) as density from size left join l using (tag) where n_pages >= 5) select tag, n_pages, round(density, 3) as density from r where density < 0.15")
 def grf_04_tag_cohesion(spark, d):
     nodes, e, _ = edges(spark, d)
     tags = pages(spark, d).where(in_scope("all")).join(nodes.select("rel"), "rel", "left_semi").select("rel", F.explode("tags").alias("tag"))
     return G.tag_cohesion(tags, e)
 
 
-@query(_GRAPH + f", gather as (select rel from node where type in {SYNTHESES}), sets as (select src from edge group by src having count(*) <= 60), few as (select e.* from edge e join sets using (src)), pair as (select x.dst as a, y.dst as b, count(*) as n from few x join few y on x.src = y.src and x.dst < y.dst group by 1, 2 having count(*) >= 3) select a, b, n from pair p where a not in (select rel from gather) and b not in (select rel from gather) and not exists (select 1 from edge x join edge y on x.src = y.src where x.src in (select rel from gather) and x.dst = p.a and y.dst = p.b)")
+@query(GRAPH_SQL + f", gather as (select rel from node where type in {SYNTHESES}), sets as (select src from edge group by src having count(*) <= 60), few as (select e.* from edge e join sets using (src)), pair as (select x.dst as a, y.dst as b, count(*) as n from few x join few y on x.src = y.src and x.dst < y.dst group by 1, 2 having count(*) >= 3) select a, b, n from pair p where a not in (select rel from gather) and b not in (select rel from gather) and not exists (select 1 from edge x join edge y on x.src = y.src where x.src in (select rel from gather) and x.dst = p.a and y.dst = p.b)")
 def grf_05_colink_gaps(spark, d):
     nodes, e, _ = edges(spark, d)
     return G.colink_gaps(nodes, e)
 
 
-@query(_GRAPH + "select rel, n_in from (select rel, (select count(*) from edge where dst = rel) as n_in, (select count(*) from edge where src = rel) as n_out from node) where n_out = 0 and n_in >= 3")
+@query(GRAPH_SQL + "select rel, n_in from (select rel, (select count(*) from edge where dst = rel) as n_in, (select count(*) from edge where src = rel) as n_out from node) where n_out = 0 and n_in >= 3")
 def grf_06_sinks(spark, d):
     nodes, e, _ = edges(spark, d)
     return G.sinks(G.degrees(nodes, e))
@@ -417,190 +270,184 @@ def grf_06_sinks(spark, d):
 # --- search, names, report, checks -----------------------------------------------------------------------------------
 
 
-@query("select rel, n from (select rel, doc_id, len(regexp_extract_all(lower(text), 'throttle|ledger')) as n from documents where text is not null) where n > 0 order by n desc, rel, doc_id limit 20")
-def srch_01_text_search(spark, d):
-    """Occurrences of any query term in the whole text, top 20 (TOP-03)."""
-    hits = table(spark, d, "documents").select("rel", "doc_id", F.regexp_count(F.lower("text"), F.lit("throttle|ledger")).alias("n"))
-    return hits.where(F.col("n") > 0).orderBy(F.desc("n"), "rel", "doc_id").limit(20).select("rel", "n")
-
+# --- links to files and folders --------------------------------------------------------------------------------------
 
-_INDEX_TERMS = ("shared", "network", "deep")
 
-
-@query(_P + ", w as (select rel, list_distinct(regexp_split_to_array(lower(coalesce(title, '') || ' ' || description), '[^a-z0-9]+')) as words from scoped where title is not null) select rel, len(list_intersect(words, ['shared', 'network', 'deep'])) as n from w where len(list_intersect(words, ['shared', 'network', 'deep'])) >= 2")
-def srch_03_index_ranking(spark, d):
-    """Distinct query words in title and description; two are needed when there are three or more."""
-    p = pages(spark, d).where(in_scope("all"))
-    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "description")), "[^a-z0-9]+"))
-    return p.select("rel", F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in _INDEX_TERMS]))).alias("n")).where(F.col("n") >= 2)
+@query(f"with {PAGE_SQL}, {FILES_SQL} select link_id, dst from flink where dst in (select dst from existing)")
+def flt_09_exists(spark, d):
+    """Links whose target exists, as a file or as a folder."""
+    return links(spark, d, files=True).join(existing(pages(spark, d)), "dst", "left_semi").select("link_id", "dst")
 
 
-@query("with b as (select p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) as t from part), k as (select t from b group by t having count(*) <= 200), f as (select b.* from b join k using (t)) select count(*) as n_pairs from (select distinct x.p_partkey, y.p_partkey from f x join f y on x.t = y.t and x.p_partkey < y.p_partkey)")
-def dup_02_capped_blocks(spark, d):
-    """Number of pairs from token blocks of at most 200 members, the t: keys alone; all keys: dup_02_part_class_pairs."""
-    b = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("t"))
-    few = b.join(b.groupBy("t").count().where(F.col("count") <= 200).select("t"), "t", "left_semi")
-    pairs = few.select("t", F.col("p_partkey").alias("a")).join(few.select("t", F.col("p_partkey").alias("b")), "t").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
+@query(f"with {PAGE_SQL}, {FILES_SQL} select link_id, src, dst from flink where dst not in (select dst from existing)")
+def join_02_broken_links(spark, d):
+    """Links, images among them, to files and folders that don't exist."""
+    return links(spark, d, files=True).join(existing(pages(spark, d)), "dst", "left_anti").select("link_id", "src", "dst")
 
 
-# The tokens of any name, as functions.strings.tokens makes them.
-_FOLDED = "translate(replace(replace(lower(regexp_replace(regexp_replace({c}, '(\\w)\\+\\+', '\\1pp', 'g'), '(\\w)#', '\\1sharp', 'g')), 'ß', 'ss'), 'œ', 'oe'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
-_NAME = f"array_to_string([case when length(t) > 3 and ends_with(t, 's') and not ends_with(t, 'ss') then left(t, length(t) - 1) else t end for t in regexp_split_to_array(replace({_FOLDED}, '_', ' '), '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{Nd}}}}\\p{{{{Nl}}}}\\p{{{{Pc}}}}]+') if t <> '' and t not in {_STOP}], ' ')"
-_PART_CLASSES = f"classes as (select distinct p_partkey as id, 'n:' || {_NAME.format(c='p_name')} as class from part where {_NAME.format(c='p_name')} <> '')"
-_PAGE_CLASSES = f"""inside as (select * from scoped where split_part(rel, '/', 1) <> 'journal'),
-names as (select rel, title as name from inside union all select rel, unnest(aliases) from inside union all select rel, replace(regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', ''), '-', ' ') from inside),
-classes as (select rel as id, 'n:' || {_NAME.format(c='name')} as class from names where {_NAME.format(c='name')} <> ''
-  union select rel, 'r:' || regexp_replace(resource, '/+$', '') from inside where resource <> '')"""
-_CLASS_PAIRS = """key as (select distinct class, unnest(list_concat(['t:' || x for x in t], ['p:' || left(x, 4) for x in t], ['a:' || case when len(t) = 1 then t[1] else array_to_string([left(x, 1) for x in t], '') end])) as key
-  from (select distinct class, string_split(substr(class, 3), ' ') as t from classes where starts_with(class, 'n:'))),
-kept as (select class, key from key where key in (select key from classes join key using (class) group by key having count(distinct id) <= 200))
-select distinct x.class as class_a, y.class as class_b from kept x join kept y on x.key = y.key and x.class < y.class"""
+@query(f"with {PAGE_SQL}, {FILES_SQL} select rel from known where type = 'Source' and rel not in (select dst from counting)")
+def join_04_unused_sources(spark, d):
+    return unused_sources(pages(spark, d), links(spark, d, files=True))
 
 
-def _part_classes(spark, d):
-    return name_classes(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_name").alias("names"), F.lit(None).cast("string").alias("resource")))
+_RELATIONS_SQL = f"""frel as (select distinct relation_id, rel as src, key, target, {sql_file("target", "rel")} as dst from page_relation
+  where not regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') and not starts_with(target, '//') and not starts_with(target, '#') and split_part(target, '#', 1) <> '')"""
 
 
-def _page_classes(spark, d):
-    """Names are the title, the aliases and the file's stem."""
-    stem = F.replace(stem_of(F.col("rel")), F.lit("-"), F.lit(" "))
-    names = F.array_compact(F.concat(F.array("title", stem), F.coalesce("aliases", F.array().cast("array<string>"))))
-    return name_classes(pages(spark, d).where(in_scope()).select(F.col("rel").alias("id"), names.alias("names"), "resource"))
+def internal_relations(spark, d):
+    """Relations to something in the bundle, dst null where they point outside."""
+    t = table(spark, d, "page_relation").where(is_internal(F.col("target")) & (without_fragment(F.col("target")) != ""))
+    return t.select("relation_id", F.col("rel").alias("src"), "key", "target", file_path(F.col("target"), F.col("rel")).alias("dst")).distinct()
 
 
-@query(f"with {_PART_CLASSES} select * from classes")
-def dup_01_part_classes(spark, d):
-    """Parts of equal name: one row per part, with its class."""
-    return _part_classes(spark, d)
+@query(f"with {PAGE_SQL}, {FILES_SQL}, {_RELATIONS_SQL} select relation_id, src, key, target from frel r where dst is null or not exists (select 1 from flink l where l.src = r.src and l.dst = r.dst)")
+def join_05_relation_not_linked(spark, d):
+    """Relations that their page's body doesn't link, or that lead nowhere."""
+    return internal_relations(spark, d).join(links(spark, d, files=True).select("src", "dst"), ["src", "dst"], "left_anti").select("relation_id", "src", "key", "target")
 
 
-@query(f"with {_PART_CLASSES}, {_CLASS_PAIRS}")
-def dup_02_part_class_pairs(spark, d):
-    """Pairs of names of parts that share a token, prefix or acronym of at most 200 parts."""
-    return class_pairs(_part_classes(spark, d))
+@query(f"with {PAGE_SQL}, {FILES_SQL} select rel, (select count(*) from counting c where c.dst = s.rel) as n_inbound from (select distinct rel from scoped) s")
+def agg_04_inbound_links(spark, d):
+    """Every body link of a page whose links count, also a repeated one; not a page's links to itself."""
+    return inbound_links(pages(spark, d), links(spark, d, files=True))
 
 
-@query(f"with {_PAGE}, {_PAGE_CLASSES} select * from classes")
-def dup_01_page_classes(spark, d):
-    """Pages of equal name or resource: one row per page and class."""
-    return _page_classes(spark, d)
+@query(GRAPH_SQL + f", {_RELATIONS_SQL} select key, count(*) as n_relations from frel where src in (select rel from node) and dst in (select rel from node) group by key")
+def agg_06_relations_by_key(spark, d):
+    """Relations between two pages of the graph by key; repeated ones and those to the page itself count."""
+    nodes, _, _ = edges(spark, d)
+    both = internal_relations(spark, d).join(nodes.select(F.col("rel").alias("src")), "src", "left_semi").join(nodes.select(F.col("rel").alias("dst")), "dst", "left_semi")
+    return both.groupBy("key").agg(F.count(F.lit(1)).alias("n_relations"))
 
 
-@query(f"with {_PAGE}, {_PAGE_CLASSES}, {_CLASS_PAIRS}")
-def dup_02_page_class_pairs(spark, d):
-    """Pairs of names of pages that share a token, prefix or acronym of at most 200 pages."""
-    return class_pairs(_page_classes(spark, d))
+@query(P_SQL + f", {_FM_SQL} select tier, count(*) as n_pages from trust where split_part(rel, '/', 1) <> 'journal' group by tier")
+def agg_02_trust_tiers(spark, d):
+    p = pages(spark, d, frontmatter=True).where(in_scope()).dropDuplicates(["rel"])
+    return page_facts(p, AS_OF).groupBy("tier").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 @query(
-    f"with {_PAGE}, {_LINKS} "
+    f"with {PAGE_SQL}, {FILES_SQL} "
     + """select 'type' as section, type as item, count(*) as n from scoped group by type
   union all select 'status', status, count(*) from scoped group by status
-  union all select 'broken', dst, count(*) from link where src <> dst and dst not in (select rel from page) and src in (select rel from scoped) group by dst"""
+  union all select 'draft', rel, count(*) from scoped where status = 'draft' group by rel
+  union all select 'unused', rel, count(*) from known where type = 'Source' and rel not in (select dst from counting) group by rel
+  union all select 'broken', src || ' -> ' || target, count(*) from flink where dst not in (select dst from existing) and src in (select rel from linking) group by 2"""
 )
 def rpt_01_report(spark, d):
-    """Three sections of the health report as rows: section, item, n. The whole report: rpt_01_health."""
-    p = pages(spark, d).where(in_scope("all"))
-    by = lambda s, c: p.groupBy(F.col(c).alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("section"), "item", "n")
-    broken = links(spark, d).where(F.col("src") != F.col("dst")).join(pages(spark, d).select(F.col("rel").alias("dst")), "dst", "left_anti").join(p.select(F.col("rel").alias("src")), "src", "left_semi")
-    return by("type", "type").unionByName(by("status", "status")).unionByName(broken.groupBy(F.col("dst").alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("broken").alias("section"), "item", "n"))
+    """The sections of the health report that need no frontmatter, as rows: section, item, n."""
+    return health_report(pages(spark, d, frontmatter=True), links(spark, d, files=True), AS_OF).where(F.col("section").isin("type", "status", "draft", "unused", "broken"))
 
 
-@query()
+@query(
+    f"with {PAGE_SQL}, {FILES_SQL}, {_FM_SQL}, {_STALE_SQL}, "
+    + """src0 as (select rel, j->'sources' as v from fm),
+  cited as (select rel from src0 where v is not null and json_type(v) <> 'NULL' and v::varchar not in ('[]', '{}', '""', 'false', '0', '"[]"', '"{}"'))
+  select 'type' as section, type as item, count(*) as n from scoped group by type
+  union all select 'trust', tier, count(*) from trust where split_part(rel, '/', 1) <> 'journal' group by tier
+  union all select 'status', status, count(*) from scoped group by status
+  union all select 'stale', rel, count(distinct rel) from scoped join stale using (rel) where try_cast(due as timestamptz) <= timestamptz '2026-01-01 00:00:00+00' group by rel
+  union all select 'uncited', rel, count(*) from known where type not in ('Source', 'Person', 'Organization') and rel not in (select rel from cited) group by rel
+  union all select 'draft', rel, count(*) from scoped where status = 'draft' group by rel
+  union all select 'unused', rel, count(*) from known where type = 'Source' and rel not in (select dst from counting) group by rel
+  union all select 'broken', src || ' -> ' || target, count(*) from flink where dst not in (select dst from existing) and src in (select rel from linking) group by 2"""
+)
 def rpt_01_health(spark, d):
-    """The whole health report as rows: section, item, n, as of the present."""
-    return health_report(pages(spark, d), links(spark, d))
-
-
-@query(_P + "select folder, count(*) as n_pages, count(distinct type) as n_types from scoped group by folder")
-def idx_01_folders(spark, d):
-    return pages(spark, d).where(in_scope("all")).groupBy("folder").agg(F.count(F.lit(1)).alias("n_pages"), F.count_distinct("type").alias("n_types"))
-
-
-@query("select r_name, n_name, string_agg(s_name, '; ' order by s_name) as suppliers from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey group by 1, 2")
-def idx_02_rollup(spark, d):
-    """A hierarchy rolled up with ordered listings."""
-    n = lookup(table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, d, "region"), ["r_regionkey"], "inner")
-    s = lookup(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), n, ["n_nationkey"], "inner")
-    return s.groupBy("r_name", "n_name").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "; ").alias("suppliers"))
-
-
-_CHECKS = f"""with {_PAGE}, {_LINKS}
-select distinct rel as path, 'O002' as code from page where type is null
-union all select distinct rel, 'H001' from page where not regexp_matches(regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', ''), '^[a-z0-9]+(-[a-z0-9]+)*$')
-union all select distinct rel, 'H013' from page where type = 'Source' and resource is null
-union all select distinct src, 'H030' from (select rel as src, target, {sql_path("target", "rel")} as p from page_link) where p is null and ends_with(split_part(target, '#', 1), '.md') and not contains(target, ':') and not starts_with(target, '//') and not starts_with(target, '#')
-union all select distinct src, 'W030' from link where dst not in (select rel from page)
-union all select distinct rel, 'W031' from page_link where not starts_with(target, '/') and not regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') and not starts_with(target, '#')
-union all select distinct src, 'W032' from relation where dst not in (select rel from page)
-union all select distinct rel, 'W033' from ref_def"""
-
-
-@query(_CHECKS)
-def chk_diagnostics(spark, d):
-    """Diagnostics (path, code), each once: one predicate or anti-join per rule, then one union."""
-    p = pages(spark, d)
-    raw = table(spark, d, "page_link")
-    exists = p.select(F.col("rel").alias("dst"))
-    target = F.col("target")
-    outside = page_path(target, F.col("rel")).isNull() & without_fragment(target).endswith(".md") & ~target.contains(":") & is_internal(target)
-    rules = {
-        "O002": p.where(F.col("type").isNull()).select("rel"),
-        "H001": p.where(~is_kebab(stem_of(F.col("rel")))).select("rel"),
-        "H013": p.where((F.col("type") == "Source") & F.col("resource").isNull()).select("rel"),
-        "H030": raw.where(outside).select("rel"),
-        "W030": links(spark, d).join(exists, "dst", "left_anti").select("src"),
-        "W031": raw.where(~target.startswith("/") & ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~target.startswith("#")).select("rel"),
-        "W032": relations(spark, d).join(exists, "dst", "left_anti").select("src"),
-        "W033": table(spark, d, "ref_def").select("rel"),
-    }
-    out = None
-    for code, df in rules.items():
-        one = df.toDF("path").distinct().select("path", F.lit(code).alias("code"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-# --- rewrites, import, bibliography ----------------------------------------------------------------------------------
-
-
-@query(f"with moved as (select distinct rel as old, 'moved/' || rel as new from bundle_page where starts_with(rel, 'data/formats/')), l as (select distinct link_id, target, {sql_path('target', 'rel')} as path from page_link) select link_id, target, '/' || new || regexp_extract(target, '(#.*)$', 1) as new_target from l join moved on path = old")
-def mut_02_move(spark, d):
-    """Links to retarget when a folder moves; the fragment is kept."""
-    moved = table(spark, d, "bundle_page").where(F.col("rel").startswith("data/formats/")).select(F.col("rel").alias("path"), F.concat(F.lit("moved/"), F.col("rel")).alias("new")).distinct()
-    l = table(spark, d, "page_link").select("link_id", "target", page_path(F.col("target"), F.col("rel")).alias("path")).distinct()  # noqa: E741
-    return l.join(moved, "path").select("link_id", "target", F.concat(F.lit("/"), F.col("new"), fragment_of(F.col("target"))).alias("new_target"))
-
-
-@query("with g as (select page_id, list_distinct([t for t in flatten(list(targets order by built_at, len(targets), targets)) if t is not null]) as u from graph_out where targets is not null and page_id is not null group by page_id) select page_id, list_sort(u) as targets from g")
-def mut_03_union_merge(spark, d):
-    """Lists of repeated records merged without repetition."""
-    g = table(spark, d, "graph_out").where(F.col("targets").isNotNull() & F.col("page_id").isNotNull())
-    return g.groupBy("page_id").agg(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("targets"))))).alias("targets"))
-
-
-@query("select note_id, reason from (select note_id, case when max(vault) is null then 'no vault' when max(problem) is not null then max(problem) when max(body) is null then 'empty' when octet_length(encode(max(body))) > max(max_bytes) then 'too large' else 'import' end as reason from source_note left join import_mapping using (vault) group by note_id)")
-def imp_01_plan(spark, d):
-    """What happens to each note, and why (first reason that holds)."""
-    m = table(spark, d, "import_mapping").select("vault", "max_bytes")
-    n = table(spark, d, "source_note").groupBy("note_id").agg(*[F.max(c).alias(c) for c in ("vault", "problem", "body")])
-    reason = F.when(F.col("vault").isNull(), "no vault").when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("body").isNull(), "empty").when(F.octet_length("body") > F.col("max_bytes"), "too large").otherwise("import")
-    return lookup(n, m, ["vault"]).select("note_id", reason.alias("reason"))
-
-
-@query("select distinct p_partkey from part where p_name ilike '%steel%' union select l_partkey from lineitem join supplier on s_suppkey = l_suppkey where s_name ilike '%0001'")
-def bib_01_item_search(spark, d):
-    """Items that match by a field or by their creator (SET-01)."""
-    a = table(spark, d, "part").where(F.col("p_name").ilike("%steel%")).select("p_partkey")
-    s = table(spark, d, "supplier").where(F.col("s_name").ilike("%0001")).select(F.col("s_suppkey").alias("l_suppkey"))
-    b = table(spark, d, "lineitem").join(s, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("p_partkey"))
-    return a.unionByName(b).distinct()
-
-
-@query("select o_orderkey, string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) as parts, sum(l_quantity) as quantity from orders join lineitem on l_orderkey = o_orderkey group by 1")
-def bib_02_assembly(spark, d):
-    """Records put together from their ordered parts (JOIN-15)."""
-    item = F.struct("l_linenumber", "l_partkey")
-    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("i"), F.sum("l_quantity").alias("quantity"))  # noqa: E741
-    return table(spark, d, "orders").select("o_orderkey").join(l, "o_orderkey").select("o_orderkey", F.array_join(F.transform("i", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"), "quantity")
+    """The whole health report as rows: section, item, n."""
+    return health_report(pages(spark, d, frontmatter=True), links(spark, d, files=True), AS_OF)
+
+
+# --- names -----------------------------------------------------------------------------------------------------------
+
+_FOLDED = "lower(replace(strip_accents(lower({c})), 'ß', 'ss'))"
+_SPELLED = "regexp_replace(regexp_replace({c}, '(\\w)\\+\\+', '\\1pp', 'g'), '(\\w)#', '\\1sharp', 'g')"
+_STOP = "('a','an','and','at','by','for','from','in','into','of','on','or','the','to','vs','with','without')"
+TOKENS_SQL = f"[case when length(t) > 3 and ends_with(t, 's') and not ends_with(t, 'ss') then left(t, length(t) - 1) else t end for t in regexp_split_to_array(replace({_FOLDED.format(c=_SPELLED)}, '_', ' '), '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{Nd}}}}\\p{{{{Nl}}}}\\p{{{{Pc}}}}]+') if t <> '' and t not in {_STOP}]"
+
+
+@query(P_SQL + f"select distinct title, {_FOLDED.format(c='title')} as folded from page where not regexp_matches(title, '[\\p{{Thai}}\\p{{Devanagari}}\\p{{Arabic}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]')")
+def str_01_fold(spark, d):
+    """Titles without case and accents (scripts whose marks DuckDB also drops are left out of the comparison with SQL)."""
+    t = pages(spark, d).where(~F.col("title").rlike(r"[\p{IsThai}\p{IsDevanagari}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"))
+    return t.select("title", fold(F.col("title")).alias("folded")).distinct()
+
+
+@query(P_SQL + f"select distinct title, {_SPELLED.format(c='title')} as spelled from page")
+def str_02_symbols(spark, d):
+    return pages(spark, d).select("title", spell_symbols(F.col("title")).alias("spelled")).distinct()
+
+
+@query(P_SQL + f"select distinct title, trim(regexp_replace({_FOLDED.format(c=_SPELLED.format(c='title'))}, '[^a-z0-9]+', '-', 'g'), '-') as slug from page")
+def str_03_slug(spark, d):
+    return pages(spark, d).select("title", slug(F.col("title")).alias("slug")).distinct()
+
+
+@query(P_SQL + f"select distinct title, {TOKENS_SQL.format(c='title')} as tokens, array_to_string([left(t, 1) for t in {TOKENS_SQL.format(c='title')}], '') as acronym from page where not regexp_matches(title, '[\\p{{Thai}}\\p{{Devanagari}}\\p{{Arabic}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]')")
+def str_04_tokens(spark, d):
+    """Tokens and acronym of titles (STR-04, STR-05)."""
+    t = pages(spark, d).where(~F.col("title").rlike(r"[\p{IsThai}\p{IsDevanagari}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"))
+    t = t.select("title").distinct().select("title", tokens(F.col("title")).alias("tokens"))
+    return t.select("title", "tokens", acronym(F.col("tokens")).alias("acronym"))
+
+
+@query(P_SQL + "select distinct rel, replace(url_encode(rel), '%2F', '/') as encoded from page where not regexp_matches(rel, '[^A-Za-z0-9/._~ À-ɏ-]')")
+def str_08_encode_path(spark, d):
+    """Paths as link targets."""
+    return pages(spark, d).where(~F.col("rel").rlike("[^A-Za-z0-9/._~ À-ɏ-]")).select("rel", encode_path(F.col("rel")).alias("encoded")).distinct()
+
+
+@query("select distinct link_id, line, target, case when contains(target, chr(10)) then 1 + len(target) - len(replace(target, chr(10), '')) else 1 end as n_lines from page_link")
+def str_10_line_at(spark, d):
+    """Lines of a text up to its end: line ends count by line feed alone."""
+    t = F.col("target")
+    return table(spark, d, "page_link").select("link_id", "line", "target", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("n_lines")).distinct()
+
+
+_NAMES_SQL = f"""name0 as (select distinct rel, title, aliases, replace(regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', ''), '-', ' ') as stem from known join page using (rel)),
+name1 as (select rel, unnest(list_concat([title], coalesce(aliases, []), [stem])) as name from name0 where title is not null),
+name as (select distinct rel, {TOKENS_SQL.format(c='name')} as tokens from name1 where name is not null)"""
+
+
+@query(P_SQL + f", {_NAMES_SQL} select rel, tokens from name where len(tokens) > 0 and not regexp_matches(array_to_string(tokens, ''), '[^a-z0-9]')")
+def str_06_page_names(spark, d):
+    """The names of each page as tokens, each once: title, aliases, stem."""
+    n = G.page_names(pages(spark, d).where(in_scope()))
+    return n.where(~F.array_join("tokens", "").rlike("[^a-z0-9]")).select("rel", "tokens").distinct()
+
+
+@query(P_SQL + f", {_NAMES_SQL} select array_to_string(tokens, ' ') as name, count(*) as n_owners, list_sort(list(rel)) as owners from name where len(tokens) > 0 and not regexp_matches(array_to_string(tokens, ''), '[^a-z0-9]') group by 1 having count(*) > 1")
+def agg_12_ambiguous_names(spark, d):
+    """Names that several pages bear, with their owners."""
+    n = G.page_names(pages(spark, d).where(in_scope())).where(~F.array_join("tokens", "").rlike("[^a-z0-9]"))
+    owners = n.select(F.array_join("tokens", " ").alias("name"), "rel").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_owners"), F.array_sort(F.collect_list("rel")).alias("owners"))
+    return owners.where(F.col("n_owners") > 1)
+
+
+_PAIRS = "(select distinct least(a, b) as a, greatest(a, b) as b from (select regexp_replace(a, '^/', '') as a, regexp_replace(b, '^/', '') as b from dup_candidate) where a <> b)"
+
+
+@query(P_SQL + f", pg as (select rel, list_distinct(flatten(list(tags))) as tags from page where tags is not null group by rel) select c.a, c.b, list_sort(list_intersect(x.tags, y.tags)) as shared, round(case when len(x.tags) > 0 and len(y.tags) > 0 then len(list_intersect(x.tags, y.tags))::double / len(list_distinct(list_concat(x.tags, y.tags))) else 0 end, 6) as overlap from {_PAIRS} c join pg x on x.rel = c.a join pg y on y.rel = c.b")
+def set_06_tag_overlap(spark, d):
+    """Shared tags and Jaccard overlap of candidate pairs in either order (SET-04, SET-06); a path with several live rows has the tags of all."""
+    path = lambda c: F.regexp_replace(c, "^/", "").alias(c)
+    both = table(spark, d, "dup_candidate").select(path("a"), path("b")).where(F.col("a") != F.col("b"))
+    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = pages(spark, d).where(F.col("tags").isNotNull()).select("rel", F.explode_outer("tags").alias("tag")).groupBy("rel").agg(F.collect_set("tag").alias("tags"))
+    got = pairs.join(own.select(F.col("rel").alias("a"), F.col("tags").alias("x")), "a").join(own.select(F.col("rel").alias("b"), F.col("tags").alias("y")), "b")
+    return got.select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared"), F.round(jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+@query(
+    P_SQL
+    + f""", {_FM_SQL}, s0 as (select rel, j->'sources' as v from fm),
+  s1 as (select rel, case when json_type(v) = 'VARCHAR' and json_valid(v->>'$') then (v->>'$')::json else v end as v from s0 where v is not null),
+  s2 as (select distinct rel, unnest(case json_type(v) when 'OBJECT' then [v->>'id'] when 'ARRAY' then (v->>'$[*].id') else [] end) as id from s1)
+  select rel, id from s2 where id is not null and not exists (select 1 from documents d where d.rel = s2.rel and contains(text, '[^' || id || ']'))"""
+)
+def set_03_uncited_sources(spark, d):
+    """Source ids of a page's frontmatter that its body never cites."""
+    own = nested_rows(table(spark, d, "bundle_page").where(F.col("deleted_at").isNull()), "rel", "frontmatter", ("sources",))
+    ids = own.where(F.col("is_object") & (F.col("grp") == "sources[]") & F.col("fields")["id"].isNotNull()).select(F.col("record").alias("rel"), F.col("fields")["id"].alias("id")).distinct()
+    text = table(spark, d, "documents").select("rel", "text")
+    cited = ids.join(text, "rel").where(F.contains("text", F.concat(F.lit("[^"), "id", F.lit("]")))).select("rel", "id")
+    return ids.join(cited, ["rel", "id"], "left_anti")
