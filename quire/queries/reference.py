@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from datetime import UTC, datetime
 
 from quire.functions.paths import ancestors, file_path, folder_of, fragment_of, encode_path, is_internal, name_of, page_path, percent_decode, stem_of, without_fragment
-from quire.functions.strings import acronym, casefold, fold, is_kebab, jaccard, slug, spell_symbols, tokens
+from quire.functions.strings import acronym, casefold, fold, fold_text, is_kebab, jaccard, slug, spell_symbols, tokens
 from quire.operators import graph as G
 from quire.operators.catalog import SYNTHESES, edges, existing, folder_closure, in_scope, is_tooling, links, pages, relations
 from quire.operators.find import find_pages, has_tags, in_folder, view
@@ -359,17 +359,28 @@ def rpt_01_health(spark, d):
 
 # --- names -----------------------------------------------------------------------------------------------------------
 
-_FOLDED = "lower(replace(strip_accents(lower({c})), 'ß', 'ss'))"
+def _fold_sql(column: str) -> str:
+    """Case folding and the loss of accents as SQL, by rule from the same definition as functions.strings.fold: characters that fold to several are replaced, others translated."""
+    kinds = [(c, fold_text(c)) for c in map(chr, range(0x80, 0x3100)) if fold_text(c) != c]
+    out = column
+    for c, f in kinds:
+        if len(f) > 1 and ord(c) < 0x0F00:
+            out = f"replace({out}, '{c}', '{f}')"
+    one = [(c, f) for c, f in kinds if len(f) == 1 and f not in "'\\"]
+    gone = "".join(c for c, f in kinds if not f)
+    return f"translate(lower({out}), '{''.join(c for c, _ in one)}{gone}', '{''.join(f for _, f in one)}')"
+
+
+_FOLDED = _fold_sql("{c}")
 _SPELLED = "regexp_replace(regexp_replace({c}, '(\\w)\\+\\+', '\\1pp', 'g'), '(\\w)#', '\\1sharp', 'g')"
 _STOP = "('a','an','and','at','by','for','from','in','into','of','on','or','the','to','vs','with','without')"
 TOKENS_SQL = f"[case when length(t) > 3 and ends_with(t, 's') and not ends_with(t, 'ss') then left(t, length(t) - 1) else t end for t in regexp_split_to_array(replace({_FOLDED.format(c=_SPELLED)}, '_', ' '), '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{Nd}}}}\\p{{{{Nl}}}}\\p{{{{Pc}}}}]+') if t <> '' and t not in {_STOP}]"
 
 
-@query(P_SQL + f"select distinct title, {_FOLDED.format(c='title')} as folded from page where not regexp_matches(title, '[\\p{{Thai}}\\p{{Devanagari}}\\p{{Arabic}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]')")
+@query(P_SQL + f"select distinct title, {_FOLDED.format(c='title')} as folded from page")
 def str_01_fold(spark, d):
-    """Titles without case and accents (scripts whose marks DuckDB also drops are left out of the comparison with SQL)."""
-    t = pages(spark, d).where(~F.col("title").rlike(r"[\p{IsThai}\p{IsDevanagari}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"))
-    return t.select("title", fold(F.col("title")).alias("folded")).distinct()
+    """Titles without case and accents."""
+    return pages(spark, d).select("title", fold(F.col("title")).alias("folded")).distinct()
 
 
 @query(P_SQL + f"select distinct title, {_SPELLED.format(c='title')} as spelled from page")
@@ -382,18 +393,17 @@ def str_03_slug(spark, d):
     return pages(spark, d).select("title", slug(F.col("title")).alias("slug")).distinct()
 
 
-@query(P_SQL + f"select distinct title, {TOKENS_SQL.format(c='title')} as tokens, array_to_string([left(t, 1) for t in {TOKENS_SQL.format(c='title')}], '') as acronym from page where not regexp_matches(title, '[\\p{{Thai}}\\p{{Devanagari}}\\p{{Arabic}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]')")
+@query(P_SQL + f"select distinct title, {TOKENS_SQL.format(c='title')} as tokens, array_to_string([left(t, 1) for t in {TOKENS_SQL.format(c='title')}], '') as acronym from page")
 def str_04_tokens(spark, d):
     """Tokens and acronym of titles (STR-04, STR-05)."""
-    t = pages(spark, d).where(~F.col("title").rlike(r"[\p{IsThai}\p{IsDevanagari}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"))
-    t = t.select("title").distinct().select("title", tokens(F.col("title")).alias("tokens"))
+    t = pages(spark, d).select("title").distinct().select("title", tokens(F.col("title")).alias("tokens"))
     return t.select("title", "tokens", acronym(F.col("tokens")).alias("acronym"))
 
 
-@query(P_SQL + "select distinct rel, replace(url_encode(rel), '%2F', '/') as encoded from page where not regexp_matches(rel, '[^A-Za-z0-9/._~ À-ɏ-]')")
+@query(P_SQL + "select distinct rel, replace(url_encode(rel), '%2F', '/') as encoded from page")
 def str_08_encode_path(spark, d):
     """Paths as link targets."""
-    return pages(spark, d).where(~F.col("rel").rlike("[^A-Za-z0-9/._~ À-ɏ-]")).select("rel", encode_path(F.col("rel")).alias("encoded")).distinct()
+    return pages(spark, d).select("rel", encode_path(F.col("rel")).alias("encoded")).distinct()
 
 
 @query("select distinct link_id, line, target, case when contains(target, chr(10)) then 1 + len(target) - len(replace(target, chr(10), '')) else 1 end as n_lines from page_link")
@@ -408,17 +418,17 @@ name1 as (select rel, unnest(list_concat([title], coalesce(aliases, []), [stem])
 name as (select distinct rel, {TOKENS_SQL.format(c='name')} as tokens from name1 where name is not null)"""
 
 
-@query(P_SQL + f", {_NAMES_SQL} select rel, tokens from name where len(tokens) > 0 and not regexp_matches(array_to_string(tokens, ''), '[^a-z0-9]')")
+@query(P_SQL + f", {_NAMES_SQL} select rel, tokens from name where len(tokens) > 0")
 def str_06_page_names(spark, d):
     """The names of each page as tokens, each once: title, aliases, stem."""
     n = G.page_names(pages(spark, d).where(in_scope()))
-    return n.where(~F.array_join("tokens", "").rlike("[^a-z0-9]")).select("rel", "tokens").distinct()
+    return n.select("rel", "tokens").distinct()
 
 
-@query(P_SQL + f", {_NAMES_SQL} select array_to_string(tokens, ' ') as name, count(*) as n_owners, list_sort(list(rel)) as owners from name where len(tokens) > 0 and not regexp_matches(array_to_string(tokens, ''), '[^a-z0-9]') group by 1 having count(*) > 1")
+@query(P_SQL + f", {_NAMES_SQL} select array_to_string(tokens, ' ') as name, count(*) as n_owners, list_sort(list(rel)) as owners from name where len(tokens) > 0 group by 1 having count(*) > 1")
 def agg_12_ambiguous_names(spark, d):
     """Names that several pages bear, with their owners."""
-    n = G.page_names(pages(spark, d).where(in_scope())).where(~F.array_join("tokens", "").rlike("[^a-z0-9]"))
+    n = G.page_names(pages(spark, d).where(in_scope()))
     owners = n.select(F.array_join("tokens", " ").alias("name"), "rel").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_owners"), F.array_sort(F.collect_list("rel")).alias("owners"))
     return owners.where(F.col("n_owners") > 1)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,14 +85,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     A checkpointed plan keeps the sort orders that hold for the plan it replaces, one for each way to name them; over the rounds of an
     iteration these multiply until planning takes longer than running. So the checkpointed rows are wrapped in a plan of their own.
     """
+    checkpoint_dir(df.sparkSession)
+    return detached(df.checkpoint(eager=True))
+
+
+def detached(df: DataFrame) -> DataFrame:
+    """df with a plan of its own over the same rows, whose lineage stays: what was planned for df, or is cached of it, is read, not planned again."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    done = df.checkpoint(eager=True)
     try:
-        rows = done._jdf.queryExecution().toRdd()
-        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+        rows = df._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
     except Exception:  # another kind of session: correct, only slower over many rounds
-        return done
+        return df
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans that are not changed while they run, for iterations of many small equal rounds, where planning anew at each shuffle takes longest."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def default_parallelism(spark: SparkSession) -> int:
