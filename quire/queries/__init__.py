@@ -1,6 +1,6 @@
 """All core queries and their SQL."""
 
-from quire.queries import problems, reference, registry, site  # noqa: F401
+from quire.queries import problems, reference, registry, site, work  # noqa: F401
 
 FLAGSHIP = "rpt_01_health"
 QUERIES = {**problems.QUERIES, **registry.QUERIES}

@@ -10,7 +10,7 @@ from quire.operators import graph as G
 from quire.operators.blocks import class_pairs, name_classes
 from quire.operators.catalog import edges, in_scope, links, pages, relations
 from quire.operators.checks import Corpus, check, totals, unordered
-from quire.operators.duplicates import duplicate_candidates, name_features, name_signals
+from quire.operators.duplicates import duplicate_candidates, name_signals, shingles
 from quire.operators.index import expected_indexes, folder_contexts, folders_to_index
 from quire.operators.markdown import text_parts
 from quire.operators.mentions import name_owners, unlinked_mentions
@@ -77,18 +77,14 @@ def txt_11_h1(spark, d):
 
 
 @query(
-    """with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents where text is not null and not regexp_matches(text, '[^\\x00-\\x7f]'))
-  select doc_id, count(distinct s) as n_shingles from (select doc_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) as s from w where len(w) >= 5) group by doc_id
-  union all select doc_id, -1 from documents where text is null or regexp_matches(text, '[^\\x00-\\x7f]') union all select doc_id, 0 from w where len(w) < 5"""
+    """with w as (select doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]+') as w from documents)
+  select doc_id, count(distinct s) as n_shingles from (select doc_id, unnest(case when len(w) >= 5 then [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] else [null] end) as s from w) group by doc_id
+  union all select doc_id, 0 from documents where text is null"""
 )
 def txt_10_shingles(spark, d):
-    """Distinct runs of five words of each text; -1 marks null texts and those with characters beyond ASCII, whose words SQL splits otherwise."""
-    from quire.operators.duplicates import shingles
-
-    t = _texts(spark, d)
+    """Distinct runs of five words of each text."""
     words, runs = shingles(F.col("text"))
-    plain = F.coalesce(~F.col("text").rlike(r"[^\x00-\x7f]"), F.lit(False))
-    return t.select("doc_id", words.alias("__w"), plain.alias("plain")).select("doc_id", F.when(F.col("plain"), F.size(runs)).otherwise(-1).cast("long").alias("n_shingles"))
+    return _texts(spark, d).select("doc_id", words.alias("__w")).select("doc_id", F.size(runs).cast("long").alias("n_shingles"))
 
 
 # --- checks ----------------------------------------------------------------------------------------------------------
