@@ -43,6 +43,7 @@ _CASELESS_WORD = re.compile("(?<![Ѐ-ӿ])[а-яё]{3,}(?![Ѐ-ӿ])")
 #: Words of Latin letters with an accented one; words with a question mark where a letter may have been.
 _ACCENTED = re.compile("[A-Za-zÀ-ɏ]*[À-ɏ][A-Za-zÀ-ɏ]*")
 _HOLED = re.compile(r"[A-Za-zÀ-ɏ]*\?[A-Za-zÀ-ɏ?]*[A-Za-zÀ-ɏ]")
+_HOLE = re.compile(r"\?[A-Za-zÀ-ɏ]")
 _ACCENT = re.compile("[À-ɏ]")
 #: Pairs of true and wrong encoding whose garbled forms may be ordinary letters; WESTERN stands for cp1252 and latin-1, whose readings differ in 0x80-0x9F only.
 WESTERN = "cp1252"
@@ -354,11 +355,12 @@ def garbled_spans(text: str, letters: Letters | None = None) -> list[tuple[int,
     return sorted(spans)
 
 
-def restore(text: str, letters: Letters | None = None) -> str:
-    """The text with its garbled spans replaced, again and again for text that was garbled more than once, until nothing changes."""
+def restore(text: str, letters: Letters | None = None, found: list[tuple[int, int, str]] | None = None) -> str:
+    """The text with its garbled spans (as found, if known) replaced, again and again for text that was garbled more than once, until nothing changes."""
     seen = {text}
     while True:
-        spans = [s for s in garbled_spans(text, letters) if text[s[0] : s[1]] != s[2]]
+        spans = [s for s in (garbled_spans(text, letters) if found is None else found) if text[s[0] : s[1]] != s[2]]
+        found = None
         out, at = [], 0
         for s, e, new in spans:
             out += [text[at:s], new]
@@ -420,10 +422,10 @@ def garbled_values(df: DataFrame, value: str, keep: list[str], letters: Letters
             at, fixed, n, holes = [], [], [], []
             for i, v in enumerate(batch.column("value").to_pylist()):
                 spans = garbled_spans(v, letters)
-                words = holed_words(v) if "?" in v else []
+                words = holed_words(v) if _HOLE.search(v) else []
                 if spans or words:
                     at.append(i)
-                    fixed.append(restore(v, letters) if spans else v)
+                    fixed.append(restore(v, letters, spans) if spans else v)
                     n.append(len(spans))
                     holes.append(words)
             take = pa.array(at, pa.int32())
