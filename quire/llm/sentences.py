@@ -208,41 +208,41 @@ _STOP = re.compile(r"\.(?=\s|$)[ \t  ]*(?:\r?\n(?![ \t]*(?:\r?\n|[-*+>#|`~<]|\d+
 _FENCED = re.compile(r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t\r]*$|\Z)")
 
 
-def stop_evidence(text: str | None) -> Counter:
-    """Counts (word, kind) for the words before full stops in a document: what follows is l a small letter or digit, u a capital or other letter,
+def stop_evidence(text: str | None, out: Counter) -> None:
+    """Add the counts (word, kind) for the words before full stops in a document: what follows is l a small letter or digit, u a capital or other letter,
     e the end of the block.
     """
-    out: Counter = Counter()
     if not text or "." not in text:
-        return out
-    if "```" in text or "~~~" in text:
-        text = _FENCED.sub("", text)
+        return
     for m in _STOP.finditer(text):
         w, nxt = word_before(text, m.start(), 0), m[1]
         if not w or w[0].isdigit():
             continue
         if nxt != "|":  # a table row
             out[w.lower(), "e" if not nxt else "l" if nxt.islower() or nxt.isdigit() else "u"] += 1
-    return out
 
 
 #: A capitalised word after a full stop; a word that stands by itself, also one with a stop after it.
 _STARTER = re.compile(r"\.[ \t\r\n\u00a0\u202f]+[\"“„«‹‘'(\[*_]*([^\W\d_]+)")
 _WORD = re.compile(r"(?<![\w.'’-])[^\W\d_]+(?![\w'’-])")
-_WORD_STOP = re.compile(r"(?<![\w.'’-])[^\W\d_]+(?![\w'’-])\.?")
-
-
-def letter_evidence(text: str | None) -> Counter:
-    """Counts (word, kind), all in small letters: c a capitalised word after a full stop, s an occurrence in small letters, n any occurrence."""
-    out: Counter = Counter()
-    if not text:
-        return out
-    if "```" in text or "~~~" in text:
-        text = _FENCED.sub("", text)
-    for w in _STARTER.findall(text):
+#: Characters that a word standing by itself has neither before nor after it, besides letters and digits.
+_JOINING = "_'’-"
+
+
+def evidence(texts: Iterator[str]) -> Counter:
+    """Counts (word, kind), all in small letters, over texts without their fenced code: those of stop_evidence; c a capitalised word after a full stop, s an occurrence in
+    small letters, n any occurrence. Words are counted as they stand first, so that only distinct ones are looked at one by one."""
+    out, words, starters = Counter(), Counter(), Counter()
+    for text in texts:
+        if "```" in text or "~~~" in text:
+            text = _FENCED.sub("", text)
+        stop_evidence(text, out)
+        words.update(_WORD.findall(text))
+        starters.update(_STARTER.findall(text))
+    for w, n in starters.items():
         if w[0].isupper():
-            out[w.lower(), "c"] += 1
-    for w, n in Counter(_WORD.findall(text)).items():
+            out[w.lower(), "c"] += n
+    for w, n in words.items():
         low = w.lower()
         if w == low:
             out[w, "s"] += n
@@ -267,10 +267,7 @@ def corpus_words(df: DataFrame, text: str) -> Words:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                total.update(stop_evidence(t))
-                total.update(letter_evidence(t))
+            total = evidence(batch.column(0).to_pylist())
             words = sorted({w for w, _ in total})
             cols = [pa.array([total[w, k] for w in words], pa.int64()) for k in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *cols], names=["word", *kinds])
@@ -304,16 +301,38 @@ class _Document:
         self.text, self.corpus = text, corpus
         self._known: dict[str, bool] = {}
         self._ordinary: dict[str, bool] = {}
-        self._inner: Counter | None = None
-        self._words: tuple[set[str], set[str]] | None = None
+        self._lowered: str | None = None
 
     @property
-    def words(self) -> tuple[set[str], set[str]]:
-        """The words as they stand in the document, and those that occur without a stop after them, in small letters."""
-        if self._words is None:
-            got = set(_WORD_STOP.findall(self.text))
-            self._words = {w.rstrip(".") for w in got}, {w.lower() for w in got if w[-1] != "."}
-        return self._words
+    def lowered(self) -> str:
+        """The text in small letters, at the same length."""
+        if self._lowered is None:
+            low = self.text.lower()
+            self._lowered = low if len(low) == len(self.text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
+        return self._lowered
+
+    def occurs(self, word: str, anyhow: bool) -> bool:
+        """Whether a word stands by itself somewhere: as it is written, or anyhow written but without a stop after it."""
+        text = self.lowered if anyhow else self.text
+        at = text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            before, after = text[at - 1 : at], text[end : end + 1]
+            if not (before and (before.isalnum() or before in _JOINING or before == ".")) and not (after and (after.isalnum() or after in _JOINING or (anyhow and after == "."))):
+                return True
+            at = text.find(word, at + 1)
+        return False
+
+    def before_small(self, word: str) -> int:
+        """How often, up to twice, a small letter or digit follows the stop after a word."""
+        n, at = 0, self.lowered.find(word + ".")
+        while at >= 0 and n < 2:
+            stop = at + len(word)
+            m = _STOP.match(self.text, stop)
+            if m and m[1] and (m[1].islower() or m[1].isdigit()) and word_before(self.text, stop, 0).lower() == word:
+                n += 1
+            at = self.lowered.find(word + ".", at + 1)
+        return n
 
     def abbreviation(self, word: str) -> bool:
         """Whether a word is an abbreviation: as the document says, else the corpus, else the fixed list."""
@@ -326,12 +345,10 @@ class _Document:
 
     def _says(self, w: str) -> bool | None:
         # yes: a small letter or digit after its stop at least twice, and never without a stop; no: only without one; else nothing
-        if self._inner is None:
-            self._inner = Counter(word_before(self.text, m.start(), 0).lower() for m in _STOP.finditer(self.text) if m[1] and (m[1].islower() or m[1].isdigit()))
-        inner = self._inner[w]
+        inner = self.before_small(w)
         if inner < 2 and w not in self.corpus.abbreviations and w not in SEED:
             return False if not inner else None
-        plain = w in self.words[1] if w.isalpha() else f" {w} " in self.text or f" {w}," in self.text
+        plain = self.occurs(w, True) if w.isalpha() else f" {w} " in self.text or f" {w}," in self.text
         return None if plain == (inner > 0) or (not plain and inner < 2) else not plain
 
     def closes(self, word: str) -> bool:
@@ -349,7 +366,7 @@ class _Document:
         low = word.lower()
         if not low:
             return False
-        if low in self.words[0]:
+        if self.occurs(low, False):
             return True
         at = self.text.find(f" {word}")
         while at > 0:
