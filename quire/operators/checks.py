@@ -174,13 +174,23 @@ _FACTS = {
     "violations": "array<string>",
     "source_ids": "array<string>",
     "resources": "array<string>",
-    "times": "array<struct<field:string,at:string>>",
+    "times": "array<struct<field:string,at:string,epoch:double>>",
     "stale_after": "string",
+    "stale_at": "double",
     "locators": "array<string>",
     "relations": "array<struct<key:string,target:string>>",
 }
 
 
+def instant(text: str) -> float | None:
+    """Seconds since 1970 of an ISO time with an offset, else None."""
+    try:
+        at = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return at.timestamp() if at.tzinfo else None
+
+
 def frontmatter_facts(docs: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
     """What the rules ask of each document's frontmatter: rel, and the columns of _FACTS. Unreadable frontmatter says nothing and has readable false."""
 
@@ -207,8 +217,9 @@ def frontmatter_facts(docs: DataFrame, relations: tuple[str, ...] = ()) -> DataF
             "violations": violations(fm, relations),
             "source_ids": [str(s["id"]) for s in sources if s.get("id")],
             "resources": [s["resource"] for s in sources if isinstance(s.get("resource"), str)],
-            "times": [{"field": f, "at": str(e["at"])} for f, e in events if isinstance(e, dict) and e.get("at")],
+            "times": [{"field": f, "at": str(e["at"]), "epoch": instant(str(e["at"]))} for f, e in events if isinstance(e, dict) and e.get("at")],
             "stale_after": fm["stale_after"] if isinstance(fm.get("stale_after"), str) else None,
+            "stale_at": instant(fm["stale_after"]) if isinstance(fm.get("stale_after"), str) else None,
             "locators": [x for x in (fm.get("locators") if isinstance(fm.get("locators"), list) else []) if isinstance(x, str)],
             "relations": links,
         }
@@ -225,11 +236,6 @@ def frontmatter_facts(docs: DataFrame, relations: tuple[str, ...] = ()) -> DataF
     return docs.select("rel", "frontmatter").mapInArrow(read, "rel string, " + ", ".join(f"{k} {v}" for k, v in _FACTS.items()))
 
 
-def _passed(due: Column, now: datetime) -> Column:
-    """Whether a written time with an offset is over."""
-    return F.coalesce(F.when(due.rlike(r"(Z|[+-]\d{2}:?\d{2})\z"), F.try_to_timestamp(due) <= F.lit(now)), F.lit(False))
-
-
 def check(c: Corpus, profile: Profile, now: datetime, extra_paths: DataFrame | None = None) -> DataFrame:
     """All diagnostics of a bundle: path, line, code, message, each once.
 
@@ -298,10 +304,9 @@ def check(c: Corpus, profile: Profile, now: datetime, extra_paths: DataFrame | N
     say("W032", related.where((F.col("dst") != "") & F.col("dst").isNotNull()).join(there, "dst", "left_anti"), F.concat("key", F.lit(": no target `"), target, F.lit("`")))
     say("H031", related.join(own.where(F.col("dst").isNotNull()).select("rel", "dst").distinct(), ["rel", "dst"], "left_anti"), F.concat("key", F.lit(": not linked from the body: `"), target, F.lit("`")))
     # times
-    say("W040", prose.where(_passed(F.col("stale_after"), now)), F.concat(F.lit("stale since "), "stale_after"))
-    at = prose.select("rel", F.explode("times").alias("x")).select("rel", "x.field", "x.at")
-    future = F.coalesce(F.when(F.col("at").rlike(r"(Z|[+-]\d{2}:?\d{2})\z"), F.try_to_timestamp("at") > F.lit(now)), F.lit(False))
-    say("W041", at.where(future), F.concat("field", F.lit(" is in the future: "), "at"))
+    say("W040", prose.where(F.col("stale_at") <= now.timestamp()), F.concat(F.lit("stale since "), "stale_after"))
+    at = prose.select("rel", F.explode("times").alias("x")).select("rel", "x.field", "x.at", "x.epoch")
+    say("W041", at.where(F.col("epoch") > now.timestamp()), F.concat("field", F.lit(" is in the future: "), "at"))
     # locators
     loc = prose.select("rel", F.explode("locators").alias("x")).where(F.col("x").startswith("file:")).withColumn("root", F.regexp_extract("x", "^file:([^/]*)", 1))
     say("W060", loc.where(~F.col("root").isin(*profile.roots)), quoted("undeclared locator root ", F.col("root")))

@@ -288,7 +288,7 @@ def text_parts(df: DataFrame, text: str, keep: list[str], parts: list[str] | Non
 
 def _arrow(ddl: str) -> pa.DataType:
     """The Arrow type of one of _PARTS."""
-    scalar = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    scalar = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     if ddl in scalar:
         return scalar[ddl]
     inner = ddl[len("array<") : -1]

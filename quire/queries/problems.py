@@ -91,4 +91,21 @@ def p5_stamped(spark: SparkSession, d: str) -> DataFrame:
 
 _TABLES = {n: _page_table(n, g, c) for n, (g, c) in PAGE_TABLES.items()}
 QUERIES = {f.__name__: f for f in (p1_found, p1_all_tables, p1_list_items, p3_found, p3_by_period, p5_found, p5_stamped)} | _TABLES
-SQL: dict[str, str] = {}
+
+# every value of every record, read level by level: r(page_id, owner, path, u), u with JSON in strings unwrapped
+_UNWRAP = "case when json_type({v}) = 'VARCHAR' and json_valid({v}->>'$') and json_type(({v}->>'$')::json) in ('OBJECT', 'ARRAY') then ({v}->>'$')::json else {v} end"
+_LONE = "case when json_type({u}) = 'OBJECT' and {k} in ('verified', 'sources', 'rounds', 'findings') then '[0]' else '' end"
+_P1 = f"""with recursive doc as (select distinct page_id, frontmatter::json as j from bundle_page where case when json_valid(frontmatter) then json_type(frontmatter) = 'OBJECT' else false end),
+r(page_id, owner, path, u) as (
+  select page_id, '', '', j from doc
+  union all
+  select page_id, owner, case t when 'ARRAY' then path || '[' || key || ']' else (case path when '' then '' else path || '.' end) || key || {_LONE.format(u="v", k="key")} end, v
+  from (select page_id, case json_type(r.u) when 'OBJECT' then r.path else r.owner end as owner, r.path, json_type(r.u) as t, e.key, {_UNWRAP.format(v="e.value")} as v
+    from r, json_each(case when json_type(r.u) in ('OBJECT', 'ARRAY') then r.u else '[]'::json end) e))
+"""
+SQL: dict[str, str] = {
+    "p1_found": _P1 + "select distinct page_id, owner as parent_path, path as node_path from r where json_type(u) = 'OBJECT' and path <> ''",
+    "p1_list_items": _P1 + "select distinct page_id, regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') as grp, owner as parent_path, path, regexp_extract(path, '\\[([0-9]+)\\]$', 1)::int as ordinal, case when json_type(u) <> 'NULL' then u->>'$' end as value from r where json_type(u) not in ('OBJECT', 'ARRAY') and ends_with(path, ']')",
+    "p1_all_tables": _P1 + "select regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') as grp, json_type(u) = 'OBJECT' as is_object, count(distinct page_id || '/' || path) as n_rows, count(distinct page_id) as n_records from r where json_type(u) = 'OBJECT' or (json_type(u) <> 'ARRAY' and ends_with(path, ']')) group by 1, 2",
+    "p1_generated_table": _P1 + "select distinct page_id, path as node_path, owner as parent_path, null::int as ordinal, u->>'by' as \"by\", u->>'at' as \"at\", '{}' as other from r where path = 'generated' and json_type(u) = 'OBJECT'",
+}

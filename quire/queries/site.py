@@ -117,6 +117,14 @@ _INSIDE = "not regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') and not start
 _OWN = f"l as (select rel, target, line, {sql_file('target', 'rel')} as dst from own where {_INSIDE} and rel in (select rel from prose))"
 _REL = f"r as (select rel, key, target, {sql_file('target', 'rel')} as dst from (select distinct rel, key, target from page_relation where rel in (select rel from prose) and key in {HOUSE.relations}) where {_INSIDE})"
 _ONE = "with " + _DOC_SQL
+
+
+def _ISO(name: str, select: str) -> str:
+    """SQL for ISO times with an offset: basic forms and decimal commas put in the form that casts."""
+    basic = "regexp_replace(x, '^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})', '\\1-\\2-\\3T\\4:\\5:\\6')"
+    return f"{name}0 as ({select}), {name} as (select rel, replace({basic}, ',', '.') as x from {name}0 where regexp_matches(replace({basic}, ',', '.'), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$'))"
+
+
 _CODES = {
     "O001": _ONE + "select distinct rel as path, 1 as line from doc where not readable",
     "O002": _ONE + "select distinct rel as path, 1 as line from doc where readable and rel || frontmatter not in (select rel || frontmatter from doc0 where json_valid(frontmatter) and json_type(frontmatter->'type') = 'VARCHAR' and trim(frontmatter->>'type') <> '')",
@@ -143,8 +151,10 @@ _CODES = {
     "W033": _ONE + "select distinct rel as path, line from ref_def where rel in (select rel from prose)",
     "W032": _ONE + f", {_REL} select distinct rel as path, 1 as line from r where dst <> '' and dst not in (select dst from there)",
     "H031": _ONE + f", {_OWN}, {_REL} select distinct rel as path, 1 as line from r where not exists (select 1 from l where l.rel = r.rel and l.dst = r.dst)",
-    "W040": None,
-    "W041": None,
+    "W040": _ONE + f", {_ISO('due0', "select rel, j->>'stale_after' as x from valid where type <> 'Template' and json_type(j->'stale_after') = 'VARCHAR'")} select distinct rel as path, 1 as line from due0 where try_cast(x as timestamptz) <= timestamptz '2026-01-01 00:00:00+00'",
+    "W041": _ONE
+    + f""", ev as (select rel, j->'generated' as e from valid where type <> 'Template' union all select rel, j->'verified' from valid where type <> 'Template' union all select rel, unnest((j->'verified')::json[]) from valid where type <> 'Template' and json_type(j->'verified') = 'ARRAY'),
+  {_ISO('due0', "select rel, e->>'at' as x from ev where json_type(e) = 'OBJECT' and json_type(e->'at') = 'VARCHAR'")} select distinct rel as path, 1 as line from due0 where try_cast(x as timestamptz) > timestamptz '2026-01-01 00:00:00+00'""",
     "W060": None,
     "H060": None,
     "O003": None,
