@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from quire.functions.strings import acronym, casefold, jaccard, tokens
 from quire.operators.graph import page_names
+from quire.session import checkpoint, default_parallelism
 
 #: Members above which a block of a common key (a token, a prefix, an acronym) says nothing.
 MAX_BLOCK = 200
@@ -19,11 +20,12 @@ DISTINCT_RELATIONS = ("alternative_to", "supersedes", "contradicts")
 
 
 def name_features(p: DataFrame) -> DataFrame:
-    """Per page: rel, names (tokens joined by blanks), singles (names of one token), acronyms (of names of more)."""
+    """Per page: rel, names (tokens joined by blanks), words (all their tokens), singles (names of one token), acronyms (of names of more)."""
     n = page_names(p)
     whole = F.array_join("tokens", " ")
     one, more = F.size("tokens") == 1, F.size("tokens") > 1
-    return n.groupBy("rel").agg(F.array_sort(F.collect_set(whole)).alias("names"), F.collect_set(F.when(one, whole)).alias("singles"), F.collect_set(F.when(more, acronym(F.col("tokens")))).alias("acronyms"))
+    words = F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("words")
+    return n.groupBy("rel").agg(F.array_sort(F.collect_set(whole)).alias("names"), words, F.collect_set(F.when(one, whole)).alias("singles"), F.collect_set(F.when(more, acronym(F.col("tokens")))).alias("acronyms"))
 
 
 def candidate_pairs(p: DataFrame, features: DataFrame, cap: int = MAX_BLOCK) -> DataFrame:
@@ -82,13 +84,15 @@ def name_signals(p: DataFrame, relations: DataFrame | None = None, cap: int = MA
     Left out are pairs of a Source with another type, of two journal entries, and of pages that a relation (src, key, dst) in DISTINCT_RELATIONS tells apart, in
     either direction.
     """
-    own = p.dropDuplicates(["rel"])
-    f = name_features(own)
-    info = own.join(f, "rel").select("rel", F.struct("type", "folder", "resource", "description", "tags", "names", "singles", "acronyms").alias("x"))
+    own = checkpoint(p.dropDuplicates(["rel"]))
+    f = checkpoint(name_features(own))
+    info = own.join(f, "rel").select("rel", F.struct("type", "folder", "resource", "description", "tags", "names", "words", "singles", "acronyms").alias("x"))
     pairs = candidate_pairs(own, f, cap)
     if relations is not None:
         apart = relations.where(F.col("key").isin(*DISTINCT_RELATIONS)).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
         pairs = pairs.join(apart, ["a", "b"], "left_anti")
+    # pairs are small rows that take long to compare: their partitions are not merged by size
+    pairs = pairs.repartition(default_parallelism(p.sparkSession), "a", "b")
     both = pairs.join(info.select(F.col("rel").alias("a"), F.col("x").alias("xa")), "a").join(info.select(F.col("rel").alias("b"), F.col("x").alias("xb")), "b")
     a, b = F.col("xa"), F.col("xb")
     both = both.where(((a["type"] == "Source") == (b["type"] == "Source")) & ~((a["type"] == "Journal Entry") & (b["type"] == "Journal Entry")))
@@ -99,7 +103,7 @@ def name_signals(p: DataFrame, relations: DataFrame | None = None, cap: int = MA
         F.arrays_overlap(a["names"], b["names"]).alias("same_name"),
         F.coalesce((a["resource"] != "") & (ra == rb), F.lit(False)).alias("same_resource"),
         (F.arrays_overlap(a["acronyms"], b["singles"]) | F.arrays_overlap(b["acronyms"], a["singles"])).alias("by_acronym"),
-        _best_overlap(a["names"], b["names"]).alias("overlap"),
+        F.when(F.arrays_overlap(a["words"], b["words"]), _best_overlap(a["names"], b["names"])).otherwise(F.lit(0.0)).alias("overlap"),
         "xa",
         "xb",
     )

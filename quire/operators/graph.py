@@ -75,8 +75,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             if (turn + 1) % ROUNDS_A_PLAN == 0:
                 state = checkpoint(new)
             else:
-                kept.append(new.persist(StorageLevel.MEMORY_AND_DISK))
-                state = detached(new.select("*"))
+                state = new.persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(state)
             hanging = state.agg(F.sum(F.when(F.col("dangling"), F.col("score")))).first()[0] or 0.0
             while len(kept) > 2:
                 kept.pop(0).unpersist()
