@@ -93,3 +93,11 @@ def page_path(target: Column, rel: Column) -> Column:
     """Path of the page an internal reference written in `rel` names; NULL for anything that is no page reference."""
     page = percent_decode(without_fragment(target)).endswith(".md")
     return F.when(is_internal(target) & page, resolve(target, folder_of(rel)))
+
+
+def relation_parts(value: Column) -> tuple[Column, Column]:
+    """Text and target of a value `[text](target)`, null for anything else."""
+    shape = r"^\s*\[([^\]]+)\]\((?:<([^<>\n]*)>|([^()\s]+))\)\s*\z"
+    part = lambda k: F.regexp_extract(value, shape, k)
+    ok = value.rlike(shape)
+    return F.when(ok, part(1)), F.when(ok, F.concat(part(2), part(3)))

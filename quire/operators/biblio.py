@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.skew import lookup
+
 # What is part of another item and no item itself; fields that a search looks at.
 PARTS = ("attachment", "note", "annotation")
 SEARCHED = ("title", "date", "publicationTitle", "DOI")
@@ -12,13 +14,13 @@ SEARCHED = ("title", "date", "publicationTitle", "DOI")
 
 def live_items(t: dict[str, DataFrame]) -> DataFrame:
     """Items that are neither deleted nor part of another: itemID, key, typeName."""
-    own = t["items"].join(F.broadcast(t["itemTypes"]), "itemTypeID").where(~F.col("typeName").isin(*PARTS))
+    own = lookup(t["items"], t["itemTypes"], ["itemTypeID"], "inner").where(~F.col("typeName").isin(*PARTS))
     return own.join(t["deletedItems"].select("itemID"), "itemID", "left_anti").select("itemID", "key", "typeName")
 
 
 def item_fields(t: dict[str, DataFrame]) -> DataFrame:
     """The values of items: itemID, fieldName, value."""
-    return t["itemData"].join(F.broadcast(t["fields"]), "fieldID").join(t["itemDataValues"], "valueID").select("itemID", "fieldName", "value")
+    return lookup(t["itemData"], t["fields"], ["fieldID"], "inner").join(t["itemDataValues"], "valueID").select("itemID", "fieldName", "value")
 
 
 def search_items(t: dict[str, DataFrame], text: str, limit: int | None = None, fields: tuple[str, ...] = SEARCHED) -> DataFrame:

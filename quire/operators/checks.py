@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.paths import ancestors, file_path, folder_of, is_internal, leaves_bundle, name_of, stem_of, without_fragment
+from quire.functions.paths import ancestors, file_path, folder_of, is_internal, leaves_bundle, name_of, normalize, stem_of, without_fragment
 from quire.functions.strings import glob_regex, is_kebab
 from quire.operators.catalog import existing, is_tooling
 from quire.operators.index import expected_indexes, folders_to_index
@@ -370,6 +370,13 @@ def denied(path: Column, globs: tuple[str, ...]) -> Column:
     return reduce(lambda x, g: x | F.exists(up, lambda a: a.rlike(glob_regex(posixpath.normpath(g), ignore_case=True))), globs, F.lit(False))
 
 
+def confined(root: str, path: Column, globs: tuple[str, ...] = ()) -> Column:
+    """A path below a declared root as root/path, null where it leaves the root or is denied."""
+    inside = F.when(~path.startswith("/"), normalize(path))
+    whole = F.concat(F.lit(root + "/"), inside)
+    return F.when((inside != "") & ~denied(whole, globs), whole)
+
+
 def totals(diagnostics: DataFrame) -> DataFrame:
     """One row: errors, warnings, and the exit codes of a run and of a strict run."""
     errors, warnings = F.count_if(~F.col("code").startswith("W")), F.count_if(F.col("code").startswith("W"))

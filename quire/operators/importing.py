@@ -152,6 +152,61 @@ def resolve_names(names: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("name", "folder").agg(F.min(rank).alias("m")).select("name", "folder", "m.rel")
 
 
+#: Keys of a mapping and of its rules.
+MAPPING_KEYS = ("label", "actor", "notes", "files", "exclude", "max_bytes", "timestamp", "rename", "drop", "values", "tags")
+RULE_KEYS = ("match", "to", "skip", "kebab", "type", "title")
+
+
+def mapping_errors(mapping: object, types: Sequence[str] = ()) -> list[str]:
+    """Every error in an import mapping as it was read: shapes, unknown keys, rules that match or name nothing, patterns that don't compile, unknown types."""
+    if not isinstance(mapping, dict):
+        return ["a mapping is a table of keys"]
+    out = [f"unknown key `{k}`" for k in mapping if k not in MAPPING_KEYS]
+    if not isinstance(mapping.get("actor"), str) or not re.fullmatch(r"(human|process):[a-z0-9._-]+|[A-Za-z0-9._-]+/[A-Za-z0-9._:-]+", mapping["actor"]):
+        out.append("`actor` must name who imports")
+    size = mapping.get("max_bytes", 1)
+    if not isinstance(size, int) or isinstance(size, bool) or size < 1:
+        out.append("`max_bytes` must be a number above 0")
+    for group in ("notes", "files"):
+        rules = mapping.get(group, [])
+        if not isinstance(rules, list):
+            out.append(f"`{group}` must be a list of rules")
+            continue
+        for i, r in enumerate(rules, 1):
+            where = f"{group} rule {i}"
+            if not isinstance(r, dict):
+                out.append(f"{where}: no table of keys")
+                continue
+            out += [f"{where}: unknown key `{k}`" for k in r if k not in RULE_KEYS]
+            match = r.get("match")
+            globs = [match] if isinstance(match, str) else match
+            if not isinstance(globs, list) or not globs or not all(isinstance(g, str) and g for g in globs):
+                out.append(f"{where}: `match` must name globs")
+            if not r.get("skip") and not (isinstance(r.get("to"), str) and r["to"].strip("/")):
+                out.append(f"{where}: `to` must say where it goes")
+            out += [f"{where}: unknown placeholder {{{x}}}" for x in re.findall(r"\{(\w*)\}", str(r.get("to", ""))) if x not in ("path", "dir", "parent", "stem", "name", "ext", "date", "yyyy", "mm", "dd")]
+            if types and r.get("type") and r["type"] not in types:
+                out.append(f"{where}: unknown type {r['type']}")
+    for t in mapping.get("tags", {}).get("drop", []) if isinstance(mapping.get("tags"), dict) else []:
+        try:
+            re.compile(t)
+        except re.error as e:
+            out.append(f"tags: {t}: {e}")
+    return out
+
+
+def relation_links(values: DataFrame, resolved: DataFrame, template: str = "") -> DataFrame:
+    """Relation values of notes as links to pages: src, key, value, link. values: src, key, value (a name, perhaps in double brackets).
+
+    resolved: src, name, dest, the names that mean an imported page; of the others the template makes the target ({slug} stands for the value's slug), without one they have no row.
+    """
+    own = values.withColumn("name", F.trim(F.regexp_replace("value", r"^\[\[([^\]|#]*)[^\]]*\]\]$", "$1")))
+    both = own.join(resolved.select("src", "name", "dest"), ["src", "name"], "left")
+    made = F.when(F.lit(template != ""), F.replace(F.lit(template.lstrip("/")), F.lit("{slug}"), slug(F.col("name"))))
+    target = F.coalesce("dest", made)
+    return both.where(target.isNotNull()).select("src", "key", "value", F.concat(F.lit("["), "name", F.lit("](/"), target, F.lit(")")).alias("link"))
+
+
 # --- texts and properties --------------------------------------------------------------------------------------------
 
 

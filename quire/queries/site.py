@@ -261,6 +261,13 @@ def dup_04_name_signals(spark, d):
     return s.where(fired).select("a", "b", "same_name", "same_resource", "by_acronym", F.round("overlap", 6).alias("overlap"))
 
 
+@query(_SIGNALS_SQL + " order by overlap desc, a, b limit 20")
+def top_10_signals(spark, d):
+    """The candidate pairs whose names overlap most."""
+    s = dup_04_name_signals(spark, d)
+    return s.orderBy(F.desc("overlap"), "a", "b").limit(20)
+
+
 @query()
 def dup_06_scores(spark, d):
     """Scored candidates by names, spelling and metadata."""

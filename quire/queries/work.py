@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.paths import folder_of, name_of, percent_decode, without_fragment
+from quire.functions.paths import file_path, folder_of, name_of, percent_decode, relation_parts, without_fragment
 from quire.functions.strings import glob_regex
 from quire.operators import biblio as B
 from quire.operators import importing as I
 from quire.operators import rewrite as R
 from quire.operators import search as S
 from quire.operators.catalog import existing, in_scope, pages
+from quire.operators.checks import confined, denied
 from quire.operators.index import escape_entry
 from quire.queries.reference import T0, T1, _snapshot
 from quire.queries.registry import P_SQL, PAGE_SQL, query, sql_file
@@ -397,6 +398,123 @@ def misc_02_actors(spark, d):
     return table(spark, d, "import_mapping").select("actor", B.actor(F.col("actor")).alias("valid")).distinct()
 
 
+# --- the smaller functions -------------------------------------------------------------------------------------------
+
+_BLANKS = "\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+@query(P_SQL + f"select distinct title, regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}{_BLANKS}-]', '', 'g'), '[{_BLANKS}]', '-', 'g') as anchor from page")
+def str_11_anchors(spark, d):
+    """Anchors of titles as headings."""
+    return pages(spark, d).select("title", I.heading_anchor(F.col("title")).alias("anchor")).distinct()
+
+
+_SPLIT = "regexp_replace(regexp_replace(regexp_replace(k, '([a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Za-z])([0-9])', '\\1-\\2', 'g'), '([0-9])([A-Za-z])', '\\1-\\2', 'g')"
+
+
+@query(f"with n as (select c_name as k from customer union select s_name from supplier union select p_brand from part union select event_type || event_id from events) select k, trim(regexp_replace(lower({_SPLIT}), '[^a-z0-9]+', '-', 'g'), '-') as slug from n")
+def str_15_key_slugs(spark, d):
+    """Keys of letters and digits in kebab-case."""
+    parts = [("customer", F.col("c_name")), ("supplier", F.col("s_name")), ("part", F.col("p_brand")), ("events", F.concat("event_type", F.col("event_id").cast("string")))]
+    out = None
+    for name, c in parts:
+        k = table(spark, d, name).select(c.alias("k"))
+        out = k if out is None else out.unionByName(k)
+    return out.distinct().select("k", B.key_slug(F.col("k")).alias("slug"))
+
+
+@query("select distinct o_orderdate::date::varchar as day, left(o_orderdate::date::varchar, 7) || '-00' as month, left(o_orderdate::date::varchar, 7) as month_out, 'c. ' || year(o_orderdate) as about, year(o_orderdate)::varchar as about_out from orders")
+def str_16_published(spark, d):
+    """Dates given in full, to the month, and about a year."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    month, about = F.concat(F.substring(day, 1, 7), F.lit("-00")), F.concat(F.lit("c. "), F.substring(day, 1, 4))
+    t = table(spark, d, "orders").select(day.alias("day"), month.alias("month"), about.alias("about")).distinct()
+    return t.select(B.published(F.col("day")).alias("day"), "month", B.published(F.col("month")).alias("month_out"), "about", B.published(F.col("about")).alias("about_out"))
+
+
+@query("select distinct page_id, least(coalesce(deleted_at, added_at, ingested_at), timestamp '2024-06-01') as at from bundle_page")
+def str_17_page_times(spark, d):
+    """The time of a page by the first of three that is there, not after now."""
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    return table(spark, d, "bundle_page").select("page_id", I.page_time(F.col("deleted_at"), F.col("added_at"), F.col("ingested_at"), now).alias("at")).distinct()
+
+
+@query("select distinct relation_id, case when coalesce(text, '') <> '' and not contains(text, ']') and not regexp_matches(target, '[()\\s]') then text end as text, case when coalesce(text, '') <> '' and not contains(text, ']') and not regexp_matches(target, '[()\\s]') then target end as target from page_relation")
+def txt_06_relations(spark, d):
+    """Values `[text](target)` taken apart."""
+    t = table(spark, d, "page_relation").select("relation_id", F.concat(F.lit(" ["), F.coalesce("text", F.lit("")), F.lit("]("), "target", F.lit(") ")).alias("value")).distinct()
+    text, target = relation_parts(F.col("value"))
+    return t.select("relation_id", text.alias("text"), target.alias("target"))
+
+
+DENY = ("systems/NET*", "**/*alert*")
+
+
+@query(P_SQL + "select distinct rel, regexp_matches(lower(rel), '^systems/net[^/]*(/|$)') or regexp_matches(lower(rel), '(^|/)[^/]*alert[^/]*(/|$)') as denied from page")
+def flt_10_denied(spark, d):
+    """Pages that deny globs match, themselves or by a folder above, whatever the case."""
+    return pages(spark, d).select("rel", denied(F.col("rel"), DENY).alias("denied")).distinct()
+
+
+@query(P_SQL + "select distinct rel, case when not regexp_matches(lower(rel), '(^|/)[^/]*alert[^/]*(/|$)') then 'papers/' || rel end as inside, null::varchar as outside from page")
+def misc_09_confined(spark, d):
+    """Paths below a root, and the same paths led out of it."""
+    deny = ("**/*alert*",)
+    up = F.concat(F.lit("../"), "rel")
+    return pages(spark, d).select("rel", confined("papers", F.col("rel"), deny).alias("inside"), confined("papers", up, deny).alias("outside")).distinct()
+
+
+_MERGE_SQL = "c as (select least(regexp_replace(a, '^/', ''), regexp_replace(b, '^/', '')) as new, greatest(regexp_replace(a, '^/', ''), regexp_replace(b, '^/', '')) as old from dup_candidate where score >= 0.9 and a is not null and b is not null), one as (select old, min(new) as new from c where old <> new group by old), mg as (select * from one where new not in (select old from one))"
+
+
+@query(f"with {_MERGE_SQL}, r as (select distinct rel, key, {sql_file('target', 'rel')} as dst from page_relation where {_INTERNAL_SQL}) select distinct coalesce(x.new, r.rel) as rel, key, coalesce(y.new, r.dst) as dst from r left join mg x on x.old = r.rel left join mg y on y.old = r.dst where coalesce(x.new, r.rel) <> coalesce(y.new, r.dst)")
+def misc_04_merged_relations(spark, d):
+    """Relations after pages are folded into others, without those from a page to itself."""
+    t = table(spark, d, "page_relation").select("rel", "key", file_path(F.col("target"), F.col("rel")).alias("dst")).where("dst is not null").distinct()
+    return R.merged_relations(t, _merges(spark, d))
+
+
+@query("select vault as key, string_agg(coalesce(nullif(h1, ''), problem), chr(10) || chr(10) order by note_id, coalesce(nullif(h1, ''), problem)) as text from (select distinct vault, note_id, h1, problem from source_note) where vault is not null and coalesce(nullif(h1, ''), problem) is not null group by vault")
+def misc_06_full_texts(spark, d):
+    """Texts put together from parts in order, each from the first place that has it."""
+    n = table(spark, d, "source_note").where("vault is not null").select(F.col("vault").alias("key"), F.col("note_id").alias("ord"), F.col("h1").alias("indexed"), F.col("problem").alias("cached")).distinct()
+    return B.full_text(n)
+
+
+@query("select distinct rel, case when contains(rel, 'a') then regexp_extract(title, '([^ ]*)$', 1) else rel end as citekey from library_page where title is not null")
+def misc_07_citation_keys(spark, d):
+    """Citation keys by their own field, else from a line of another."""
+    extra = F.concat(F.lit("x\nCitation Key: "), F.element_at(F.split("title", " "), -1))
+    f = F.when(F.col("rel").contains("a"), F.create_map(F.lit("extra"), extra)).otherwise(F.create_map(F.lit("extra"), extra, F.lit("citationKey"), F.col("rel")))
+    return table(spark, d, "library_page").where("title is not null").select("rel", f.alias("f")).select("rel", B.citation_key(F.col("f")).alias("citekey")).distinct()
+
+
+@query(
+    """with n as (select distinct note_id, regexp_replace(regexp_extract(src, '([^/]*)$', 1), '\\.[^.]*$', '') as stem, coalesce(props['title'], '') as title, string_split(props['tags'], ',') as own from source_note)
+  select note_id, list_sort(list_distinct(list_concat(coalesce(own, []), case when lower(stem) in ('index', 'readme', 'untitled', 'note') or lower(stem) = lower(title) then [] else [stem] end))) as aliases from n"""
+)
+def misc_11_aliases(spark, d):
+    """Aliases of notes: what they have, and the file's stem."""
+    own = F.split(F.element_at("props", F.lit("tags")), ",")
+    t = table(spark, d, "source_note").select("note_id", "src", "props").withColumn("t", F.coalesce(F.element_at("props", F.lit("title")), F.lit("")))
+    return t.select("note_id", F.array_sort(I.page_aliases(own, F.col("src"), F.col("t"))).alias("aliases")).distinct()
+
+
+@query(
+    P_SQL
+    + f""", im as (select distinct rel, {sql_file('target', 'rel')} as path from page_link where image and {_INTERNAL_SQL}),
+  f as (select path, bool_or(rel in (select rel from page)) as shown, lower(regexp_extract(path, '[.]([^.]*)$', 1)) in {I.IMAGES} as picture from im where path is not null and not ends_with(lower(path), '.md') group by path)
+  select path as src, case when shown and picture and len(path) <= 40 then '' when shown and picture then 'too large' when shown then 'linked document' else 'attachment' end as reason from f"""
+)
+def imp_02_attachments(spark, d):
+    """Files that pages show: those that come along, and why others don't; a path's length stands for a file's size."""
+    shown = table(spark, d, "page_link").where("image").select(F.col("rel").alias("src"), file_path(F.col("target"), F.col("rel")).alias("target")).where(F.col("target").isNotNull() & ~F.lower("target").endswith(".md")).distinct()
+    row = lambda note, reason, size: [size.cast("long").alias("size"), F.lit(note).alias("note"), F.lit("").alias("rule"), F.lit("").alias("type"), F.lit(None).cast("string").alias("dest"), F.lit(reason).alias("reason")]
+    files = shown.select(F.col("target").alias("src")).distinct().select("src", *row(False, "attachment", F.length("src")))
+    notes = pages(spark, d).select(F.col("rel").alias("src")).distinct().select("src", *row(True, "", F.lit(1)))
+    return I.with_attachments(files.unionByName(notes), shown, 40).where("not note").select("src", "reason")
+
+
 # --- changes, output -------------------------------------------------------------------------------------------------
 
 

@@ -140,3 +140,18 @@ def test_references(spark):
     assert [tuple(r) for r in rows] == [("file", "root/a b", False), ("https", "//x.y/z", True), ("https", "//", False), ("", "plain", False), (None, None, False)]
     assert col(spark, ["human:a", "tool/model-1 [x]", "process:n", "Bob", None], B.actor) == ["human:a", "tool/model-1", "process:n", None, None]
     assert col(spark, ["2020-05-06T", "May 2020-07", "c. 1999", "none"], B.published) == ["2020-05-06", "2020-07", "1999", None]
+
+
+def test_mapping_errors():
+    good = {"actor": "process:import-x", "notes": [{"match": "**/*.md", "to": "{dir}/{stem}"}, {"match": ["a"], "skip": True}], "max_bytes": 10}
+    assert I.mapping_errors(good) == []
+    bad = {"actor": "me", "odd": 1, "max_bytes": 0, "notes": [{"match": [], "to": "x"}, {"match": "a"}, {"match": "a", "to": "{nope}", "type": "Gizmo", "z": 1}, 3], "files": {}, "tags": {"drop": ["("]}}
+    assert len(I.mapping_errors(bad, ["Concept"])) == 11 and I.mapping_errors([])
+
+
+def test_relation_links(spark):
+    values = spark.createDataFrame([("n", "related", "[[Page|x]]"), ("n", "related", "Other Thing"), ("m", "related", "[[Page]]")], "src string, key string, value string")
+    resolved = spark.createDataFrame([("n", "Page", "a/page.md")], "src string, name string, dest string")
+    rows = {(r.src, r.value): r.link for r in I.relation_links(values, resolved, "/people/{slug}.md").collect()}
+    assert rows == {("n", "[[Page|x]]"): "[Page](/a/page.md)", ("n", "Other Thing"): "[Other Thing](/people/other-thing.md)", ("m", "[[Page]]"): "[Page](/people/page.md)"}
+    assert I.relation_links(values, resolved).count() == 1
