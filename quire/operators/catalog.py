@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,30 +26,29 @@ def page_title(title: Column, rel: Column) -> Column:
     return F.when(F.coalesce(plain, F.lit("")) != "", plain).otherwise(own)
 
 
-def pages(spark: SparkSession, d: str, frontmatter: bool = False) -> DataFrame:
-    """Pages that exist now: rel, folder, type, title, description, tags, aliases, status, resource, added_at, and on demand frontmatter.
+#: Columns of bundle_page that pages() can give, in order.
+_COLUMNS = {"rel": "string", "type": "string", "title": "string", "description": "string", "tags": "array<string>", "aliases": "array<string>", "status": "string", "resource": "string", "added_at": "timestamp_ntz", "frontmatter": "string"}
+_LIBRARY = ("rel", "type", "title", "resource", "added_at")
+
+
+def pages(spark: SparkSession, d: str, frontmatter: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+    """Pages that exist now: rel, folder, type, title, description, tags, aliases, status, resource, added_at, and on demand frontmatter; with `only`, rel, folder and these of them.
 
     Pages delivered twice count once; type is NULL if blank; description '' if missing; status `stable` if missing. Repeated deliveries fall
-    together as equal rows of these columns, so filters on them reach the scan before that shuffle.
+    together as equal rows of the columns asked for, so filters on them reach the scan before that shuffle, and no others are read.
     """
-    columns = ["rel", "type", "title", "description", "tags", "aliases", "status", "resource", "added_at", *(["frontmatter"] if frontmatter else [])]
-    own = table(spark, d, "bundle_page").where(F.col("deleted_at").isNull()).select("page_id", *columns).distinct().select(*columns)
-    nothing = F.lit(None).cast("array<string>")
-    library = table(spark, d, "library_page").where(F.col("deleted_at").isNull()).select("rel", "type", "title", F.lit(None).cast("string").alias("description"), nothing.alias("tags"), nothing.alias("aliases"), F.lit(None).cast("string").alias("status"), "resource", "added_at", *([F.lit(None).cast("string").alias("frontmatter")] if frontmatter else []))
+    names = [c for c in _COLUMNS if c == "rel" or (c in only if only is not None else c != "frontmatter" or frontmatter)]
+    own = table(spark, d, "bundle_page").where(F.col("deleted_at").isNull()).select("page_id", *names).distinct().select(*names)
+    library = table(spark, d, "library_page").where(F.col("deleted_at").isNull()).select(*[F.col(c) if c in _LIBRARY else F.lit(None).cast(_COLUMNS[c]).alias(c) for c in names])
     p = own.unionByName(library)
     kind = F.trim("type")
-    return p.select(
-        "rel",
-        folder_of(F.col("rel")).alias("folder"),
-        F.when(kind != "", kind).alias("type"),
-        page_title(F.col("title"), F.col("rel")).alias("title"),
-        F.coalesce(F.trim(F.regexp_replace("description", r"\s+", " ")), F.lit("")).alias("description"),
-        "tags",
-        "aliases",
-        F.coalesce("status", F.lit("stable")).alias("status"),
-        "resource",
-        *columns[8:],
-    )
+    shown = {
+        "type": lambda: F.when(kind != "", kind),
+        "title": lambda: page_title(F.col("title"), F.col("rel")),
+        "description": lambda: F.coalesce(F.trim(F.regexp_replace("description", r"\s+", " ")), F.lit("")),
+        "status": lambda: F.coalesce("status", F.lit("stable")),
+    }
+    return p.select("rel", folder_of(F.col("rel")).alias("folder"), *[shown.get(c, lambda c=c: F.col(c))().alias(c) for c in names if c != "rel"])
 
 
 def is_tooling(folder: Column) -> Column:
@@ -95,7 +96,7 @@ def edges(spark: SparkSession, d: str, scope: str = "knowledge") -> tuple[DataFr
     Body links and relations between pages in scope, each pair once, no loops. Source pages are no nodes; references to
     them are the citations.
     """
-    known = pages(spark, d).where(in_scope(scope)).select("rel", "type").distinct()
+    known = pages(spark, d, only=("type",)).where(in_scope(scope)).select("rel", "type").distinct()
     refs = links(spark, d).select("src", "dst").unionByName(relations(spark, d).select("src", "dst")).where(F.col("src") != F.col("dst")).distinct()
     own = refs.join(known.where(F.col("type") != "Source").select(F.col("rel").alias("src")), "src", "left_semi")
     typed = own.join(known.select(F.col("rel").alias("dst"), F.col("type").alias("dst_type")), "dst")

@@ -25,7 +25,7 @@ AS_OF = datetime(2026, 1, 1, tzinfo=UTC)
 
 @query(P_SQL + "select folder from (select unnest(list_transform(range(0, len(string_split(rel, '/'))), lambda n: array_to_string(string_split(rel, '/')[1:n], '/'))) as folder from page) group by 1")
 def src_03_dirs(spark, d):
-    return folder_closure(pages(spark, d))
+    return folder_closure(pages(spark, d, only=("type",)))
 
 
 _FM_SQL = """
@@ -54,7 +54,7 @@ def flt_01_find_trust(spark, d):
 
 @query(P_SQL + "select rel, list_sort(tags) as tags from page where list_has_all(coalesce(tags, []), ['survey', 'network'])")
 def flt_02_tags_all(spark, d):
-    return pages(spark, d).where(has_tags(["survey", "network"])).select("rel", F.array_sort("tags").alias("tags"))
+    return pages(spark, d, only=("tags",)).where(has_tags(["survey", "network"])).select("rel", F.array_sort("tags").alias("tags"))
 
 
 @query(P_SQL + f", {_FM_SQL} select rel, tier from trust")
@@ -90,22 +90,22 @@ def flt_13_review_view(spark, d):
 
 @query(P_SQL + "select rel from page where status = 'stable'")
 def flt_03_status_default(spark, d):
-    return pages(spark, d).where(F.col("status") == "stable").select("rel")
+    return pages(spark, d, only=("status",)).where(F.col("status") == "stable").select("rel")
 
 
 @query(P_SQL + "select rel, folder from page where starts_with(rel, 'data/')")
 def flt_04_folder_prefix(spark, d):
-    return pages(spark, d).where(F.col("rel").startswith("data/")).select("rel", "folder")
+    return pages(spark, d, only=("type",)).where(F.col("rel").startswith("data/")).select("rel", "folder")
 
 
 @query(P_SQL + "select rel, type from known")
 def flt_07_scope(spark, d):
-    return pages(spark, d).where(in_scope()).select("rel", "type").distinct()
+    return pages(spark, d, only=("type",)).where(in_scope()).select("rel", "type").distinct()
 
 
 @query(P_SQL + "select rel, regexp_matches('/' || folder, '/[_.]') as tooling from page")
 def flt_08_tooling(spark, d):
-    return pages(spark, d).select("rel", is_tooling(F.col("folder")).alias("tooling"))
+    return pages(spark, d, only=("type",)).select("rel", is_tooling(F.col("folder")).alias("tooling"))
 
 
 @query("select distinct rel, regexp_matches(regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', ''), '^[a-z0-9]+(-[a-z0-9]+)*$') as kebab from bundle_page")
@@ -118,7 +118,7 @@ def flt_12_kebab(spark, d):
 
 @query(f"with {PAGE_SQL}, {LINKS_SQL} select l.link_id, l.src, l.dst, k.type as dst_type from link l join (select distinct rel, type from page) k on k.rel = l.dst")
 def join_01_resolve(spark, d):
-    k = pages(spark, d).select(F.col("rel").alias("dst"), F.col("type").alias("dst_type")).distinct()
+    k = pages(spark, d, only=("type",)).select(F.col("rel").alias("dst"), F.col("type").alias("dst_type")).distinct()
     return links(spark, d).join(k, "dst").select("link_id", "src", "dst", "dst_type")
 
 
@@ -140,7 +140,7 @@ SORTS = (("journal", "date-desc"), ("systems", "title"), ("systems/network", "na
 @query(P_SQL + ", sorts(f, s) as (values " + ", ".join(f"('{f}', '{s}')" for f, s in SORTS) + ") select folder, (select s from sorts where folder = f or starts_with(folder, f || '/') order by length(f) desc limit 1) as sort from (select distinct folder from page)")
 def join_11_inherited_sort(spark, d):
     """Each folder's sort order, from itself or its nearest ancestor that has one."""
-    own = pages(spark, d).select("folder").distinct()
+    own = pages(spark, d, only=("type",)).select("folder").distinct()
     sorts = spark.createDataFrame(list(SORTS), "up string, s string")
     parts = F.split("folder", "/")
     ups = own.select("folder", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("depth", "up"))
@@ -173,12 +173,12 @@ def join_14_snapshot_diff(spark, d):
 
 @query(P_SQL + "select type, count(*) as n_pages, min(rel) as first_rel from scoped group by type")
 def agg_01_pages_by_type(spark, d):
-    return pages(spark, d).where(in_scope("all")).groupBy("type").agg(F.count(F.lit(1)).alias("n_pages"), F.min("rel").alias("first_rel"))
+    return pages(spark, d, only=("type",)).where(in_scope("all")).groupBy("type").agg(F.count(F.lit(1)).alias("n_pages"), F.min("rel").alias("first_rel"))
 
 
 @query(P_SQL + "select status, count(*) as n_pages from scoped group by status")
 def agg_03_status_counts(spark, d):
-    return pages(spark, d).where(in_scope("all")).groupBy("status").agg(F.count(F.lit(1)).alias("n_pages"))
+    return pages(spark, d, only=("type", "status")).where(in_scope("all")).groupBy("status").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 @query(GRAPH_SQL + "select rel, type, (select count(*) from edge where dst = rel) as n_in, (select count(*) from edge where src = rel) as n_out from node")
@@ -211,7 +211,7 @@ def agg_14_last_delivery(spark, d):
 def top_08_sections_cut(spark, d):
     """A report lists at most 200 items of a section."""
     w = Window.partitionBy("type").orderBy("added_at", "rel")
-    return pages(spark, d).where(in_scope("all")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= 200).select("type", "rel")
+    return pages(spark, d, only=("type", "added_at")).where(in_scope("all")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= 200).select("type", "rel")
 
 
 @query(f"with {LINKS_SQL} select src, dst from link union select src, dst from relation")
@@ -235,7 +235,7 @@ def str_09_fragment(spark, d):
 
 @query(P_SQL + "select rel, replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '[', '\\['), ']', '\\]') as entry from (select distinct rel, title from page where title is not null)")
 def str_20_escape(spark, d):
-    t = pages(spark, d).select("rel", "title").distinct()
+    t = pages(spark, d, only=("title",)).select("rel", "title").distinct()
     e = F.replace(F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]"))
     return t.select("rel", e.alias("entry"))
 
@@ -251,7 +251,7 @@ def grf_01_edges(spark, d):
 @query(GRAPH_SQL + ", tag as (select rel, unnest(tags) as tag from scoped where rel in (select rel from node)), size as (select tag, count(*) as n_pages from tag group by tag), pair as (select distinct least(src, dst) as a, greatest(src, dst) as b from edge), l as (select x.tag, count(*) as linked from pair join tag x on x.rel = a join tag y on y.rel = b and y.tag = x.tag group by 1), r as (select tag, n_pages, coalesce(linked, 0) / (n_pages * (n_pages - 1) / 2) as density from size left join l using (tag) where n_pages >= 5) select tag, n_pages, round(density, 3) as density from r where density < 0.15")
 def grf_04_tag_cohesion(spark, d):
     nodes, e, _ = edges(spark, d)
-    tags = pages(spark, d).where(in_scope("all")).join(nodes.select("rel"), "rel", "left_semi").select("rel", F.explode("tags").alias("tag"))
+    tags = pages(spark, d, only=("type", "tags")).where(in_scope("all")).join(nodes.select("rel"), "rel", "left_semi").select("rel", F.explode("tags").alias("tag"))
     return G.tag_cohesion(tags, e)
 
 
@@ -276,18 +276,18 @@ def grf_06_sinks(spark, d):
 @query(f"with {PAGE_SQL}, {FILES_SQL} select link_id, dst from flink where dst in (select dst from existing)")
 def flt_09_exists(spark, d):
     """Links whose target exists, as a file or as a folder."""
-    return links(spark, d, files=True).join(existing(pages(spark, d)), "dst", "left_semi").select("link_id", "dst")
+    return links(spark, d, files=True).join(existing(pages(spark, d, only=("type",))), "dst", "left_semi").select("link_id", "dst")
 
 
 @query(f"with {PAGE_SQL}, {FILES_SQL} select link_id, src, dst from flink where dst not in (select dst from existing)")
 def join_02_broken_links(spark, d):
     """Links, images among them, to files and folders that don't exist."""
-    return links(spark, d, files=True).join(existing(pages(spark, d)), "dst", "left_anti").select("link_id", "src", "dst")
+    return links(spark, d, files=True).join(existing(pages(spark, d, only=("type",))), "dst", "left_anti").select("link_id", "src", "dst")
 
 
 @query(f"with {PAGE_SQL}, {FILES_SQL} select rel from known where type = 'Source' and rel not in (select dst from counting)")
 def join_04_unused_sources(spark, d):
-    return unused_sources(pages(spark, d), links(spark, d, files=True))
+    return unused_sources(pages(spark, d, only=("type",)), links(spark, d, files=True))
 
 
 _RELATIONS_SQL = f"""frel as (select distinct relation_id, rel as src, key, target, {sql_file("target", "rel")} as dst from page_relation
@@ -309,7 +309,7 @@ def join_05_relation_not_linked(spark, d):
 @query(f"with {PAGE_SQL}, {FILES_SQL} select rel, (select count(*) from counting c where c.dst = s.rel) as n_inbound from (select distinct rel from scoped) s")
 def agg_04_inbound_links(spark, d):
     """Every body link of a page whose links count, also a repeated one; not a page's links to itself."""
-    return inbound_links(pages(spark, d), links(spark, d, files=True))
+    return inbound_links(pages(spark, d, only=("type",)), links(spark, d, files=True))
 
 
 @query(GRAPH_SQL + f", {_RELATIONS_SQL} select key, count(*) as n_relations from frel where src in (select rel from node) and dst in (select rel from node) group by key")
@@ -380,30 +380,30 @@ TOKENS_SQL = f"[case when length(t) > 3 and ends_with(t, 's') and not ends_with(
 @query(P_SQL + f"select distinct title, {_FOLDED.format(c='title')} as folded from page")
 def str_01_fold(spark, d):
     """Titles without case and accents."""
-    return pages(spark, d).select("title", fold(F.col("title")).alias("folded")).distinct()
+    return pages(spark, d, only=("title",)).select("title", fold(F.col("title")).alias("folded")).distinct()
 
 
 @query(P_SQL + f"select distinct title, {_SPELLED.format(c='title')} as spelled from page")
 def str_02_symbols(spark, d):
-    return pages(spark, d).select("title", spell_symbols(F.col("title")).alias("spelled")).distinct()
+    return pages(spark, d, only=("title",)).select("title", spell_symbols(F.col("title")).alias("spelled")).distinct()
 
 
 @query(P_SQL + f"select distinct title, trim(regexp_replace({_FOLDED.format(c=_SPELLED.format(c='title'))}, '[^a-z0-9]+', '-', 'g'), '-') as slug from page")
 def str_03_slug(spark, d):
-    return pages(spark, d).select("title", slug(F.col("title")).alias("slug")).distinct()
+    return pages(spark, d, only=("title",)).select("title", slug(F.col("title")).alias("slug")).distinct()
 
 
 @query(P_SQL + f"select distinct title, {TOKENS_SQL.format(c='title')} as tokens, array_to_string([left(t, 1) for t in {TOKENS_SQL.format(c='title')}], '') as acronym from page")
 def str_04_tokens(spark, d):
     """Tokens and acronym of titles (STR-04, STR-05)."""
-    t = pages(spark, d).select("title").distinct().select("title", tokens(F.col("title")).alias("tokens"))
+    t = pages(spark, d, only=("title",)).select("title").distinct().select("title", tokens(F.col("title")).alias("tokens"))
     return t.select("title", "tokens", acronym(F.col("tokens")).alias("acronym"))
 
 
 @query(P_SQL + "select distinct rel, replace(url_encode(rel), '%2F', '/') as encoded from page")
 def str_08_encode_path(spark, d):
     """Paths as link targets."""
-    return pages(spark, d).select("rel", encode_path(F.col("rel")).alias("encoded")).distinct()
+    return pages(spark, d, only=("type",)).select("rel", encode_path(F.col("rel")).alias("encoded")).distinct()
 
 
 @query("select distinct link_id, line, target, case when contains(target, chr(10)) then 1 + len(target) - len(replace(target, chr(10), '')) else 1 end as n_lines from page_link")
@@ -442,7 +442,7 @@ def set_06_tag_overlap(spark, d):
     path = lambda c: F.regexp_replace(c, "^/", "").alias(c)
     both = table(spark, d, "dup_candidate").select(path("a"), path("b")).where(F.col("a") != F.col("b"))
     pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own = pages(spark, d).where(F.col("tags").isNotNull()).select("rel", F.explode_outer("tags").alias("tag")).groupBy("rel").agg(F.collect_set("tag").alias("tags"))
+    own = pages(spark, d, only=("tags",)).where(F.col("tags").isNotNull()).select("rel", F.explode_outer("tags").alias("tag")).groupBy("rel").agg(F.collect_set("tag").alias("tags"))
     got = pairs.join(own.select(F.col("rel").alias("a"), F.col("tags").alias("x")), "a").join(own.select(F.col("rel").alias("b"), F.col("tags").alias("y")), "b")
     return got.select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared"), F.round(jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
 

@@ -307,7 +307,7 @@ _CASE_TITLE = "replace(lower(title), 'ß', 'ss')"
 @query(P_SQL + f", up as (select unnest(list_transform(range(0, len(string_split(rel, '/'))), lambda n: array_to_string(string_split(rel, '/')[1:n], '/'))) as folder from page where not regexp_matches('/' || folder, '/[_.]')) select folder from up union select unnest({['', *HOUSE.folders]}) ")
 def idx_01_folders(spark, d):
     """Folders that have an index."""
-    return folders_to_index(pages(spark, d), HOUSE)
+    return folders_to_index(pages(spark, d, only=("type",)), HOUSE)
 
 
 @query()
@@ -344,7 +344,7 @@ def idx_03_stale(spark, d):
 @query()
 def idx_04_contexts(spark, d):
     """Folders with their titles and descriptions."""
-    return folder_contexts(folders_to_index(pages(spark, d), HOUSE), HOUSE)
+    return folder_contexts(folders_to_index(pages(spark, d, only=("type",)), HOUSE), HOUSE)
 
 
 # --- link graph ------------------------------------------------------------------------------------------------------
@@ -394,5 +394,5 @@ def top_04_colinks(spark, d):
 def grf_07_analysis(spark, d):
     """The whole analysis of the link graph."""
     nodes, e, cites = edges(spark, d)
-    tags = pages(spark, d).where(in_scope("all")).join(nodes.select("rel"), "rel", "left_semi").select("rel", F.explode("tags").alias("tag"))
+    tags = pages(spark, d, only=("type", "tags")).where(in_scope("all")).join(nodes.select("rel"), "rel", "left_semi").select("rel", F.explode("tags").alias("tag"))
     return G.analysis(nodes, e, cites, _facts(spark, d), tags)

@@ -138,7 +138,7 @@ def _refs(spark, d):
 )
 def mut_01_fix_links(spark, d):
     """Relative references that name something, made absolute."""
-    return R.absolute_targets(_refs(spark, d), existing(pages(spark, d)))
+    return R.absolute_targets(_refs(spark, d), existing(pages(spark, d, only=("type",))))
 
 
 MOVES = (("data/formats", "data/layouts"), ("systems/storage", "storage"))
@@ -152,7 +152,7 @@ _MOVES_SQL = "mv as (select distinct rel as old, case when starts_with(rel, 'dat
 )
 def mut_02_move(spark, d):
     """References to retarget when folders move, and the moved pages' own relative ones."""
-    return R.retargeted(_refs(spark, d), R.folder_moves(pages(spark, d), MOVES))
+    return R.retargeted(_refs(spark, d), R.folder_moves(pages(spark, d, only=("type",)), MOVES))
 
 
 def _merges(spark, d):
@@ -200,7 +200,7 @@ def mut_04_apply_edits(spark, d):
 )
 def mut_06_destinations(spark, d):
     """Why moves of every page to four kinds of places are refused."""
-    p = pages(spark, d).select(F.col("rel").alias("old")).distinct()
+    p = pages(spark, d, only=("type",)).select(F.col("rel").alias("old")).distinct()
     to = [F.lower("old"), F.regexp_replace("old", "[^/]+$", "index.md"), F.concat(F.lit("../"), "old"), F.regexp_replace("old", "[.]md$", ".txt")]
     return R.destination_errors(p.select("old", F.explode(F.array(*to)).alias("new")).distinct(), p.withColumnRenamed("old", "rel"))
 
@@ -208,8 +208,8 @@ def mut_06_destinations(spark, d):
 @query(P_SQL + f", {_MOVES_SQL} select rel as qid, coalesce(new, rel) as first_rel from (select distinct rel from page) left join mv on old = rel")
 def misc_03_expectations(spark, d):
     """Pages that questions expect, under their names after a move."""
-    q = pages(spark, d).select(F.col("rel").alias("qid")).distinct().select("qid", F.array("qid", F.replace("qid", F.lit("data/formats/"), F.lit("data/layouts/"))).alias("expected"))
-    return R.renamed_expectations(q, R.folder_moves(pages(spark, d), MOVES)).select("qid", F.element_at("expected", 1).alias("first_rel"))
+    q = pages(spark, d, only=("type",)).select(F.col("rel").alias("qid")).distinct().select("qid", F.array("qid", F.replace("qid", F.lit("data/formats/"), F.lit("data/layouts/"))).alias("expected"))
+    return R.renamed_expectations(q, R.folder_moves(pages(spark, d, only=("type",)), MOVES)).select("qid", F.element_at("expected", 1).alias("first_rel"))
 
 
 # --- import ----------------------------------------------------------------------------------------------------------
@@ -270,14 +270,14 @@ def imp_01_destinations(spark, d):
 @query()
 def imp_03_destination_errors(spark, d):
     """Why the plan cannot be carried out as it stands (AGG-13)."""
-    return I.destination_errors(_plan(spark, d).distinct(), pages(spark, d).select("rel").distinct())
+    return I.destination_errors(_plan(spark, d).distinct(), pages(spark, d, only=("type",)).select("rel").distinct())
 
 
 @query("with f as (select distinct regexp_replace(regexp_extract(src, '([^/]*)$', 1), '-.*$', '.md') as dest, src from source_note), k as (select lower(dest) as k, count(*) as n, count(distinct dest) as kinds from f group by 1 having count(*) > 1) select src, dest, case when kinds = 1 then 'several files map here' else 'differs only in case' end as error from f join k on k = lower(dest)")
 def agg_13_collisions(spark, d):
     """Notes that would fall together under the first word of their names."""
     f = table(spark, d, "source_note").select("src", F.regexp_replace(name_of(F.col("src")), "-.*$", ".md").alias("dest")).distinct().select("src", "dest", F.lit(True).alias("note"), F.lit("").alias("reason"))
-    none = pages(spark, d).select("rel").limit(0)
+    none = pages(spark, d, only=("type",)).select("rel").limit(0)
     return I.destination_errors(f, none).where(F.col("error").isin("several files map here", "differs only in case"))
 
 
@@ -297,7 +297,7 @@ def join_12_best_match(spark, d):
     """The file a name means where it stands, by any end of its path."""
     t = table(spark, d, "page_link").where(without_fragment(F.col("target")).endswith(".md") & ~F.col("target").contains(":"))
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace(percent_decode(without_fragment(F.col("target"))), r"^(\.{1,2}/)+", ""), "^/+", ""), r"\.md$", "")
-    return I.resolve_names(t.select(name.alias("name"), folder_of(F.col("rel")).alias("folder")), pages(spark, d).select("rel").distinct())
+    return I.resolve_names(t.select(name.alias("name"), folder_of(F.col("rel")).alias("folder")), pages(spark, d, only=("type",)).select("rel").distinct())
 
 
 def _plain_sql(c: str) -> str:
@@ -406,7 +406,7 @@ _BLANKS = "\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029
 @query(P_SQL + f"select distinct title, regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}{_BLANKS}-]', '', 'g'), '[{_BLANKS}]', '-', 'g') as anchor from page")
 def str_11_anchors(spark, d):
     """Anchors of titles as headings."""
-    return pages(spark, d).select("title", I.heading_anchor(F.col("title")).alias("anchor")).distinct()
+    return pages(spark, d, only=("title",)).select("title", I.heading_anchor(F.col("title")).alias("anchor")).distinct()
 
 
 _SPLIT = "regexp_replace(regexp_replace(regexp_replace(k, '([a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Za-z])([0-9])', '\\1-\\2', 'g'), '([0-9])([A-Za-z])', '\\1-\\2', 'g')"
@@ -453,7 +453,7 @@ DENY = ("systems/NET*", "**/*alert*")
 @query(P_SQL + "select distinct rel, regexp_matches(lower(rel), '^systems/net[^/]*(/|$)') or regexp_matches(lower(rel), '(^|/)[^/]*alert[^/]*(/|$)') as denied from page")
 def flt_10_denied(spark, d):
     """Pages that deny globs match, themselves or by a folder above, whatever the case."""
-    return pages(spark, d).select("rel", denied(F.col("rel"), DENY).alias("denied")).distinct()
+    return pages(spark, d, only=("type",)).select("rel", denied(F.col("rel"), DENY).alias("denied")).distinct()
 
 
 @query(P_SQL + "select distinct rel, case when not regexp_matches(lower(rel), '(^|/)[^/]*alert[^/]*(/|$)') then 'papers/' || rel end as inside, null::varchar as outside from page")
@@ -461,7 +461,7 @@ def misc_09_confined(spark, d):
     """Paths below a root, and the same paths led out of it."""
     deny = ("**/*alert*",)
     up = F.concat(F.lit("../"), "rel")
-    return pages(spark, d).select("rel", confined("papers", F.col("rel"), deny).alias("inside"), confined("papers", up, deny).alias("outside")).distinct()
+    return pages(spark, d, only=("type",)).select("rel", confined("papers", F.col("rel"), deny).alias("inside"), confined("papers", up, deny).alias("outside")).distinct()
 
 
 _MERGE_SQL = "c as (select least(regexp_replace(a, '^/', ''), regexp_replace(b, '^/', '')) as new, greatest(regexp_replace(a, '^/', ''), regexp_replace(b, '^/', '')) as old from dup_candidate where score >= 0.9 and a is not null and b is not null), one as (select old, min(new) as new from c where old <> new group by old), mg as (select * from one where new not in (select old from one))"
@@ -511,7 +511,7 @@ def imp_02_attachments(spark, d):
     shown = table(spark, d, "page_link").where("image").select(F.col("rel").alias("src"), file_path(F.col("target"), F.col("rel")).alias("target")).where(F.col("target").isNotNull() & ~F.lower("target").endswith(".md")).distinct()
     row = lambda note, reason, size: [size.cast("long").alias("size"), F.lit(note).alias("note"), F.lit("").alias("rule"), F.lit("").alias("type"), F.lit(None).cast("string").alias("dest"), F.lit(reason).alias("reason")]
     files = shown.select(F.col("target").alias("src")).distinct().select("src", *row(False, "attachment", F.length("src")))
-    notes = pages(spark, d).select(F.col("rel").alias("src")).distinct().select("src", *row(True, "", F.lit(1)))
+    notes = pages(spark, d, only=("type",)).select(F.col("rel").alias("src")).distinct().select("src", *row(True, "", F.lit(1)))
     return I.with_attachments(files.unionByName(notes), shown, 40).where("not note").select("src", "reason")
 
 
