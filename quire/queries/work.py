@@ -17,7 +17,7 @@ from quire.queries.reference import T0, T1, _snapshot
 from quire.queries.registry import P_SQL, PAGE_SQL, query, sql_file
 from quire.sinks import changed_files
 from quire.sources import table
-from quire.sources.bundle import html_text
+from quire.sources.bundle import html_text, parse_texts
 from quire.streaming.changes import reuse_digests
 
 # --- search ----------------------------------------------------------------------------------------------------------
@@ -547,6 +547,21 @@ def str_19_hashes(spark, d):
     return table(spark, d, "bundle_page").select("page_id", F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256")).distinct()
 
 
+@query(
+    """with p as (select page_id, any_value(frontmatter) as fm from bundle_page group by page_id)
+  select doc_id, fm is not null as has_frontmatter, case when fm is null then 0 else 3 end as body_line, md5(coalesce(case when fm is null then ltrim(text, chr(65279)) else text end, '')) as body_digest, case when json_valid(fm) then json_type(fm) = 'OBJECT' and not regexp_matches(fm, '\\\\u[dD][89a-fA-F]') else false end as readable
+  from documents left join p on page_id = doc_id"""
+)
+def src_04_documents(spark, d):
+    """Whole files put together from frontmatter and body, and read again as YAML, which has no escapes of surrogate pairs: such frontmatter is an error."""
+    fm = table(spark, d, "bundle_page").groupBy(F.col("page_id").alias("doc_id")).agg(F.max("frontmatter").alias("fm"))
+    t = table(spark, d, "documents").join(fm, "doc_id", "left")
+    whole = F.concat(F.when(F.col("fm").isNull(), "").otherwise(F.concat(F.lit("---\n"), "fm", F.lit("\n---\n"))), F.coalesce("text", F.lit("")))
+    got = parse_texts(t.select("doc_id", whole.alias("whole")), "whole", ["doc_id"])
+    readable = F.coalesce(F.get_json_object("frontmatter", "$").startswith("{") & (F.col("frontmatter") != "{}"), F.lit(False))
+    return got.select("doc_id", "has_frontmatter", "body_line", F.md5(F.col("body").cast("binary")).alias("body_digest"), readable.alias("readable"))
+
+
 @query()
 def src_11_html(spark, d):
     """Texts wrapped as HTML and read back."""

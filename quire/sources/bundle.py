@@ -97,13 +97,24 @@ def read_bundle(spark: SparkSession, root: str, names: list[str] | None = None)
     if names is not None:
         files = files.join(spark.createDataFrame([(n,) for n in names], "rel string"), "rel", "left_semi")
 
+    return parse_texts(files, "content", ["rel", "size"])
+
+
+def parse_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns keep and the parts of each page's whole text (a string, or its bytes in UTF-8): has_frontmatter, frontmatter (JSON), error, body_offset, body_line, body.
+
+    A null text is an empty one. Whole texts are read; repeated rows stay. No shuffle.
+    """
+    src = df.select(*keep, F.col(text).alias("__content"))
+    schema = ", ".join([*[f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep], "has_frontmatter boolean, frontmatter string, error string, body_offset int, body_line int, body string"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = [parse_document(c.decode("utf-8", "replace")) for c in batch.column("content").to_pylist()]
+            docs = [parse_document(c.decode("utf-8", "replace") if isinstance(c, bytes | bytearray) else c or "") for c in batch.column("__content").to_pylist()]
             own = [pa.array([x[k] for x in docs], t) for k, t in _DOCUMENT.items()]
-            yield pa.RecordBatch.from_arrays([batch.column("rel"), batch.column("size"), *own], names=["rel", "size", *_DOCUMENT])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *own], names=[*keep, *_DOCUMENT])
 
-    return files.mapInArrow(parse, "rel string, size long, has_frontmatter boolean, frontmatter string, error string, body_offset int, body_line int, body string")
+    return src.mapInArrow(parse, schema)
 
 
 _DOCUMENT = {"has_frontmatter": pa.bool_(), "frontmatter": pa.string(), "error": pa.string(), "body_offset": pa.int32(), "body_line": pa.int32(), "body": pa.string()}

@@ -39,6 +39,17 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert got == {i for i in range(300) if i % 3 and i != 5}
 
 
+def test_hot_paths_keep_their_state(spark, monkeypatch):
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [(i, "x.md", "/gone.md" if i % 3 == 0 else "/late.md" if i % 3 == 1 else f"/p{i}.md", day(5)) for i in range(90)]
+    links = spark.createDataFrame(rows, "link_id long, rel string, target string, seen_at timestamp_ntz")
+    pages = spark.createDataFrame([("gone.md", day(1), day(3)), ("late.md", day(9), None), ("p2.md", day(1), None)], "rel string, added_at timestamp_ntz, deleted_at timestamp_ntz")
+    plain = {tuple(r) for r in dangling_page_references({"page_link": links}, [pages]).collect()}
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (0.1, 5))
+    split = {tuple(r) for r in dangling_page_references({"page_link": links}, [pages]).collect()}
+    assert plain == split and len(plain) == 89 and {r[3] for r in plain} == {"missing", "deleted", "late"}
+
+
 def test_paths(spark):
     cases = [("/a/b.md", "x/y.md", "a/b.md"), ("b.md#f", "x/y.md", "x/b.md"), ("../b.md", "x/y.md", "b.md"), ("../../b.md", "x/y.md", None), ("/a/../c%20d.md", "y.md", "c d.md"), ("https://h/a.md", "y.md", None), ("#a.md", "y.md", None), ("//h/a.md", "y.md", None), ("a%zz+.md", "y.md", "a%zz+.md"), ("mailto:a.md", "y.md", None), ("a.png", "y.md", None), (None, "y.md", None), ("./a//b.md", "y.md", "a/b.md")]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "t string, r string")
