@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quire.functions.paths import ancestors, file_path, folder_of, is_internal, leaves_bundle, name_of, normalize, stem_of, without_fragment
 from quire.functions.strings import glob_regex, is_kebab
 from quire.operators.catalog import existing, is_tooling
-from quire.operators.index import expected_indexes, folders_to_index
+from quire.operators.index import VERSION_KEY, expected_indexes, folders_to_index
 from quire.operators.markdown import parse_relation, text_parts
 from quire.operators.profile import Profile
 from quire.sources import table
@@ -315,7 +315,7 @@ def check(c: Corpus, profile: Profile, now: datetime, extra_paths: DataFrame | N
     # indexes and logs
     index = docs.where(F.col("name") == "index.md")
     keys = F.coalesce(F.json_object_keys("frontmatter"), F.array(F.lit("?")))
-    say("O003", index.where(F.col("has_frontmatter") & ((F.col("folder") != "") | (F.size(F.array_except(keys, F.array(F.lit("okf_version")))) > 0))), "an index has no frontmatter but the version at the root")
+    say("O003", index.where(F.col("has_frontmatter") & ((F.col("folder") != "") | (F.size(F.array_except(keys, F.array(F.lit(VERSION_KEY)))) > 0))), "an index has no frontmatter but the version at the root")
     lines = lambda df: df.select("rel", "body_line", F.posexplode(F.split("body", "\n")).alias("n", "text")).select("rel", (F.col("n") + F.col("body_line") + 1).alias("line"), F.regexp_replace("text", r"\r+\z", "").alias("text"))
     say("O004", lines(index).where((F.trim("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").rlike(INDEX_LINE)), "no heading or entry", F.col("line"))
     log = docs.where(F.col("name") == "log.md")
@@ -351,7 +351,7 @@ def document_pages(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def stale_indexes(wanted: DataFrame, index: DataFrame, have: DataFrame) -> DataFrame:
     """Index files that are missing, differ from what they should be, or stand in a folder without pages: rel, orphan."""
-    head = F.when(F.col("has_frontmatter"), F.concat(F.lit('---\nokf_version: "'), F.coalesce(F.get_json_object("frontmatter", "$.okf_version"), F.lit("")), F.lit('"\n---\n'))).otherwise("")
+    head = F.when(F.col("has_frontmatter"), F.concat(F.lit(f'---\n{VERSION_KEY}: "'), F.coalesce(F.get_json_object("frontmatter", f"$.{VERSION_KEY}"), F.lit("")), F.lit('"\n---\n'))).otherwise("")
     actual = index.select("rel", F.concat(head, F.coalesce("body", F.lit(""))).alias("actual"))
     file = F.when(F.col("folder") == "", "index.md").otherwise(F.concat("folder", F.lit("/index.md")))
     both = wanted.select(file.alias("rel"), "content").join(actual, "rel", "full_outer")

@@ -10,8 +10,8 @@ from quire.functions.strings import casefold
 from quire.operators.catalog import is_tooling
 from quire.operators.profile import Profile
 
-VERSION = "0.2"
-# Headings of folders outside any group, and of an index without entries; the type of pages without one.
+# The key and value by which a root index names the version of its format; headings of folders outside any group, and of an index without entries; the type of pages without one.
+VERSION_KEY, VERSION = "okf_version", "0.2"
 FOLDERS, EMPTY, UNTYPED = "Folders", "Pages", "Untyped"
 
 
@@ -113,4 +113,4 @@ def expected_indexes(pages: DataFrame, profile: Profile) -> DataFrame:
     sections = lists.select("folder", "section_ord", F.concat(F.lit("# "), "heading", F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
     bodies = sections.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "text"))), lambda x: x["text"]), "\n").alias("body"))
     every = folders_to_index(pages, profile).join(bodies, "folder", "left").withColumn("body", F.coalesce("body", F.lit(f"# {EMPTY}\n")))
-    return every.select("folder", F.when(F.col("folder") == "", F.concat(F.lit(f'---\nokf_version: "{VERSION}"\n---\n\n'), "body")).otherwise(F.col("body")).alias("content"))
+    return every.select("folder", F.when(F.col("folder") == "", F.concat(F.lit(f'---\n{VERSION_KEY}: "{VERSION}"\n---\n\n'), "body")).otherwise(F.col("body")).alias("content"))
