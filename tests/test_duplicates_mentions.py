@@ -1,9 +1,10 @@
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.duplicates import duplicate_candidates, spelling_ratio
+from quire.operators.duplicates import duplicate_candidates, name_signals, spelling_ratio
 from quire.operators.mentions import name_key, name_owners, plain_text, unlinked_mentions
 
 SCHEMA = "rel string, folder string, type string, title string, description string, tags array<string>, aliases array<string>, status string, resource string"
@@ -51,6 +52,41 @@ def test_shared_text(spark):
     assert spelling_ratio(["ab"], ["xy"]) == 0.0
 
 
+def test_pairs_of_a_block_are_sifted_before_they_are_joined(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    names = [f"Widget {word()} {word()} {word()}" for _ in range(150)]
+    names += [n[:9] + n[10:] for n in names[:10]] + [f"Widget {n.split()[2]} {n.split()[1]}" for n in names[10:20]]  # a letter missing, two words of three
+    rows = [(f"x/{i:03}.md", n) for i, n in enumerate(names)]
+    signals = name_signals(pages(spark, rows)).select("a", "b").collect()
+    assert len(signals) == len(set(signals)) < 1000  # of 14,365 pairs that share a word
+    texts = [[word() for _ in range(rng.choice([3, 5, 30, 70, 300, 1100]))] for _ in rows]
+    for i in range(0, 120, 3):  # shared text from none to all, also with texts of other lengths
+        texts[i + 1] = texts[i][: int(len(texts[i]) * (0.2 + i / 150))] + texts[i + 1][: rng.choice([0, 10])]
+    bodies = spark.createDataFrame([(r, " ".join(t)) for (r, _), t in zip(rows, texts)], "rel string, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    toks = [set(n.lower().split()) for n in names]
+    want = {}
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            shared = len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+            overlap = len(toks[i] & toks[j]) / len(toks[i] | toks[j])
+            fired = {"shared text": shared >= 0.3, "name overlap": overlap >= 0.5, "similar spelling": spelling_ratio([names[i].lower()], [names[j].lower()]) > 0}
+            if any(fired.values()):
+                want[rows[i][0], rows[j][0]] = {k for k, v in fired.items() if v}
+    got = found(duplicate_candidates(pages(spark, rows), None, bodies, min_score=0.0))
+    assert {k: set(v[1]) - {"same folder"} for k, v in got.items()} == want
+    assert sum("shared text" in v for v in want.values()) > 20
+
+
+def test_one_text_of_a_page_counts_in_every_run(spark):
+    p = pages(spark, [("x/alpha-one.md", "Alpha one"), ("y/alpha-two.md", "Alpha two")])
+    text = "the quick brown fox jumps over the lazy dog and then it sleeps"
+    rows = [("x/alpha-one.md", text), ("x/alpha-one.md", "quite another text that shares no words with it at all"), ("y/alpha-two.md", text)]
+    scores = [found(duplicate_candidates(p, None, spark.createDataFrame(x, "rel string, text string").coalesce(1), min_score=0.0)) for x in (rows, rows[::-1])]
+    assert scores[0] == scores[1]
+
+
 NO_LINKS = "src string, dst string"
 
 
